@@ -26,8 +26,8 @@ def texts(seed, copies=60, plain=40):
 def test_equal_to_brute_force(spark, monkeypatch):
     for seed, long_, block in ((1, 16, 256), (2, 3, 4), (3, 2, 8)):
         monkeypatch.setattr(J, "LONG", long_)
-        monkeypatch.setattr(J, "BLOCK", block)
-        monkeypatch.setattr(J, "PIVOTS", 2 if long_ < 16 else 12)
+        monkeypatch.setattr(J, "BLOCK_TOKENS", block * 40)
+        monkeypatch.setattr(J, "BLOCK_ENTRIES", block)
         rows = texts(seed)
         got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard(rows)

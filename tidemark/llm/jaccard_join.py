@@ -3,21 +3,23 @@
 The plan follows set-relation skipping over an inverted index:
 
 1. Equal sets fall together first; one node stands for all its copies.
-2. The index holds, of each node, the lowest ``n - ceil(t n) + len/20`` shingle hashes, its *low* part: two linked sets always
+2. The index holds, of each node, the lowest ``n - ceil(t n) + 1 + n/20`` shingle hashes, its *low* part: two linked sets always
    share one of them. Tokens of one node only are dropped in the pass that builds the lists.
 3. Each entry has a position: the low tokens before it that occur in few nodes. If the first token that two sets share stands at
-   position i of R, at most n(R) - i tokens can be common, so pairs (and, in long lists, whole blocks) whose bound is under the
+   position i of R, at most n(R) - i tokens can be common, so entries, pairs and whole blocks of entries whose bound is under the
    needed overlap are skipped. Tokens in more than ``LONG`` nodes come last, so passages that many documents share make no pairs.
-4. Long lists are first read against a few pivots each. From these answers the rest is derived: members that a chain of verified
-   links already joins need no comparison, so only blocks of entries with different labels are compared, and all of those are.
-5. Every candidate is verified on both whole sets. Components come from contraction rounds over the links.
+4. Long lists with (nearly) the same members are answered together, as the family of their pivot, in cells of two blocks. In a cell
+   the answers of one set come from those of another: only the lists of the tokens in which the two differ are read.
+   Links that join nothing new are not returned, so a group of near copies gives about as many links as members.
+5. Pairs of short lists are verified on both whole sets. Components come from contraction rounds over the links.
 
-All steps are shuffles by token, node or block pair; nothing about all documents reaches the driver but counts.
+All steps are shuffles by token, node, block or cell; nothing about all documents reaches the driver but counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,9 @@ from tidemark.llm._session import Scratch, chosen
 from tidemark.llm.words import COEF, mix, shingle_sets
 
 LONG = 16  # a list with more nodes is long: its pairs are found through pivots and blocks
-PIVOTS = 12
-BLOCK = 256
+BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
+BLOCK_ENTRIES = 1024
+MARKS = 8
 TOKENS_A_BUCKET = 1_500_000
 BROADCAST_IDS = 1_000_000  # 8 bytes each; above it the same step is a shuffled join
 
@@ -46,19 +49,23 @@ def low_count(n: int, pct: int) -> int:
 
 def node_of(s: np.ndarray) -> int:
     """The 64-bit name of a set, the same for equal sets; two of N different sets share one with a chance of about N**2 / 2**65."""
-    total = mix(s * COEF[1]).sum(dtype=np.uint64) + np.uint64(len(s)) * COEF[2]
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+    total = mix(s * COEF[1]).sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * COEF[2]
+    return int(mix(total).view(np.int64)[0])
 
 
 def _sets(pct: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, low = [], [], []
+            n, node, low, marks = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 node.append(node_of(s))
-                low.append(s[: low_count(len(s), pct)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "n", "node", "low"])
+                own = s[: low_count(len(s), pct)]
+                low.append(own.tobytes())
+                spare = len(s) - -(-pct * len(s) // 100)
+                at = spare - (-(np.arange(1, MARKS + 1) * (len(own) - 1 - spare)) // MARKS)
+                marks.append((own[at] ^ np.uint64(1 << 63)).view(np.int64) if len(s) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "low", "marks"])
 
     return run
 
@@ -176,48 +183,81 @@ def _short_pairs(pct: int):
     return run
 
 
-def _reach(x: str, y: str, pct: int) -> str:
-    """SQL: the bounds of two entries of one long list. The one whose low part ends first has all shared low tokens in it."""
-    nx, ny = f"{x}.n", f"{y}.n"
-    need_ = f"ceil({pct} * ({nx} + {ny}) / {100 + pct}.0D)"
-    return f"100 * least({nx}, {ny}) >= {pct} * greatest({nx}, {ny}) AND if({x}.last <= {y}.last, {nx} - {x}.pos, {ny} - {y}.pos) >= {need_} - 1e-6"
-
-
-def _block_pairs(pct: int):
-    """Compare two blocks of one list: skip the whole pair of blocks by its bounds or its common label, else test entry by entry."""
+def _light_pairs(pct: int):
+    """Compare a block of heavy entries with a block of light ones. Only a heavy set can reach the overlap, and only if its low
+    part ends first, for then it bounds the tokens that the two share. It has to end before y's mark, too: up to the mark y has
+    more tokens of few nodes than it may lack in x, and x has none of them, or the two would meet in a short list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for r in batch.to_pylist():
-                x, y = ({c: np.array(r[s + c]) for c in ("node", "n", "pos", "last", "label")} for s in ("x_", "y_"))
-                if 100 * min(x["n"].max(), y["n"].max()) < pct * max(x["n"].min(), y["n"].min()):
-                    continue
-                if max((x["n"] - x["pos"]).max(), (y["n"] - y["pos"]).max()) < need(x["n"].min(), y["n"].min(), pct):
-                    continue
-                if (x["label"] == y["label"][0]).all() and (y["label"] == y["label"][0]).all():
-                    continue
+                x, y = ({c: np.array(r[s + c]) for c in ("node", "n", "pos", "last")} for s in ("x_", "y_"))
                 nx, ny = x["n"][:, None], y["n"][None, :]
-                least = need(nx, ny, pct)
-                first = x["last"][:, None] <= y["last"][None, :]
-                ok = np.where(first, (x["n"] - x["pos"])[:, None], (y["n"] - y["pos"])[None, :]) >= least
-                ok &= (100 * np.minimum(nx, ny) >= pct * np.maximum(nx, ny)) & (x["label"][:, None] != y["label"][None, :])
-                i, j = np.nonzero(ok)
+                ok = (x["last"][:, None] < y["last"][None, :]) & ((x["n"] - x["pos"])[:, None] >= need(nx, ny, pct))
+                i, j = np.nonzero(ok & (100 * np.minimum(nx, ny) >= pct * np.maximum(nx, ny)))
                 a, b = x["node"][i], y["node"][j]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             got = np.unique(np.concatenate(found), axis=0)
-            for at in range(0, len(got), 100_000):
-                part = got[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _whole_sets(k: int):
+def cell_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, pct: int) -> list[tuple[int, int]]:
+    """Links (i, j) between sets of ``xs`` and of ``ys``, or within ``xs`` if that is None; of links that join nothing new, none."""
+    same = ys is None
+    ys = xs if same else ys
+    n = np.array([len(y) for y in ys], np.int64)
+    token = np.concatenate(ys)
+    order = np.argsort(token, kind="stable")
+    owner = np.repeat(np.arange(len(ys)), n)[order]
+    known, begin = np.unique(token[order], return_index=True)
+    size = np.diff(np.append(begin, len(token)))
+
+    def tally(s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        at = at[known[at] == s]
+        count = size[at]
+        where = np.repeat(begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(owner[where], minlength=len(ys))
+
+    label = np.arange(len(ys) if same else len(xs) + len(ys))
+    off = 0 if same else len(xs)
+    first, answers, links = xs[0], tally(xs[0]), []
+    for i, s in enumerate(xs):
+        more, less = np.setdiff1d(s, first, assume_unique=True), np.setdiff1d(first, s, assume_unique=True)
+        overlap = answers + tally(more) - tally(less) if len(more) + len(less) < len(s) else tally(s)
+        hit = np.flatnonzero(overlap >= need(np.int64(len(s)), n, pct))
+        for j in hit[hit > i] if same else hit:
+            if label[i] != label[off + j]:
+                links.append((i, int(j)))
+                label[label == label[off + j]] = label[i]
+    return links
+
+
+def _cells(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(node, s.view(np.int64)) for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True) if node == node_of(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.list_(pa.int64()))], names=["node", "s"])
+            out: list[tuple[int, int]] = []
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k] for c in batch.schema.names}
+                own = [np.frombuffer(v, np.uint64) for v in r["x_s"].as_py()]
+                same = r["bx"].as_py() == r["by"].as_py()
+                other = None if same else [np.frombuffer(v, np.uint64) for v in r["y_s"].as_py()]
+                x, y = r["x_node"].as_py(), r["y_node"].as_py()
+                out += [(min(x[i], y[j]), max(x[i], y[j])) for i, j in cell_links(own, other, pct)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _whole_sets(k: int, packed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(node, s) for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True) if node == node_of(s)]
+            kind = pa.array([s.tobytes() for _, s in sets], pa.binary()) if packed else pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.int64()), kind], names=["node", "s"])
 
     return run
 
@@ -247,14 +287,6 @@ def only(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner
     return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def _pivots(long_: DataFrame) -> DataFrame:
-    """Up to PIVOTS heavy entries of each list, the same nodes in lists with the same nodes: those with the least hash of each of
-    PIVOTS residue classes, so each is a combinable minimum."""
-    own = long_.where("heavy").select("token", "node", "n", "pos", "last", F.xxhash64("node").alias("h"))
-    best = own.groupBy("token", F.pmod("h", F.lit(PIVOTS)).alias("r")).agg(F.min(F.struct("h", "node", "n", "pos", "last")).alias("p"))
-    return best.select("token", "p.node", "p.n", "p.pos", "p.last")
-
-
 def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set, itself included).
 
@@ -265,9 +297,9 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = chosen(docs, id_col, text_col).toDF("doc_id", "text")
-    rows = scratch.keep(docs.mapInArrow(_sets(pct, k), "doc_id long, n long, node long, low binary"), "sets")
+    rows = scratch.keep(docs.mapInArrow(_sets(pct, k), "doc_id long, n long, node long, low binary, marks array<long>"), "sets")
     in_play = rows.where("doc_id is not null and n > 0")
-    classes = scratch.keep(in_play.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n")), "classes")
+    classes = scratch.keep(in_play.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("marks").alias("marks")), "classes")
     repeated = in_play.join(classes.where("n_copies > 1").select("node", "least_id"), "node").where("doc_id != least_id").select("node", "doc_id").distinct()
     heads = only(in_play, repeated, ["node", "doc_id"], "left_anti")
 
@@ -280,56 +312,56 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     frequent = F.when(F.col("df") > LONG, 1).otherwise(0)
     before = F.sum(frequent).over(by_node.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     low_n = F.least(F.col("n"), F.expr(f"n - ceil({pct} * n / 100.0D) + 1 + n div 20")).cast("int")
-    posting = posting.select("token", "node", "n", "last", "df", F.when(F.col("df") > LONG, low_n - F.sum(frequent).over(by_node)).otherwise(F.col("pos") - before).cast("int").alias("pos"))
+    posting = posting.select("token", "node", "n", "last", "df", low_n.alias("low_n"), F.when(F.col("df") > LONG, low_n - F.sum(frequent).over(by_node)).otherwise(F.col("pos") - before).cast("int").alias("pos"))
     posting = scratch.keep(posting, "index")
 
     short = posting.where(f"df <= {LONG} and pos <= n - ceil({pct} * n / 100.0D)").select("token", "node", "n", "pos")
     pairs = short.repartition("token").sortWithinPartitions("token").mapInPandas(_short_pairs(pct), "a long, b long")
-    # An entry that no partner can reach unless that partner is far smaller still serves as the other side.
+    def whole(nodes: DataFrame, packed: bool) -> DataFrame:
+        wanted = scratch.keep(nodes.join(classes, "node").select("node", F.col("least_id").alias("doc_id")), "wanted")
+        # Another text under the same doc_id has another node and is left out; a repeated row only repeats a link.
+        texts = only(docs, wanted, "doc_id").select("node", "text")
+        return scratch.keep(texts.mapInArrow(_whole_sets(k, packed), f"node long, s {'binary' if packed else 'array<long>'}"), "whole")
+
+    # Two sets whose first shared low token is a long one: the one whose low part ends first must be heavy.
     long_ = posting.where(f"df > {LONG}").withColumn("heavy", F.expr(f"n - pos >= ceil({pct} * n / 100.0D)"))
-    heavy = long_.where("heavy")
-    busy = heavy.select("token").distinct()
-    long_ = scratch.keep(long_.join(busy, "token", "left_semi"), "long")
-    pivot = _pivots(long_)
-    widest = long_.groupBy("node").agg(F.max_by(F.struct("token", "node", "n", "pos", "last"), F.struct("df", "token")).alias("m")).select("m.*")
-    star = pivot.alias("p").join(widest.alias("m"), "token").where("p.node != m.node").where(F.expr(_reach("p", "m", pct)))
-    pairs = scratch.keep(pairs.union(star.select(F.expr("least(p.node, m.node)"), F.expr("greatest(p.node, m.node)"))).distinct(), "pairs")
-
-    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
-        return met.where(f"{100 + pct} * o >= {pct} * t").select("a", "b")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long_.select("node")).distinct()
-    wanted = scratch.keep(wanted.join(classes, "node").select("node", F.col("least_id").alias("doc_id")), "wanted")
-    texts = only(docs, wanted, "doc_id").select("node", "text")
-    # Another text under the same doc_id has another node and is left out; of repeated rows one stays.
-    sets = scratch.keep(texts.mapInArrow(_whole_sets(k), "node long, s array<long>").dropDuplicates(["node"]), "whole")
-    links = scratch.keep(verify(pairs, sets), "verified")
+    pivot = long_.where("heavy").groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("family"))
+    member = scratch.keep(long_.join(pivot, "token").select("family", "node", "n", "pos", "last", "low_n", "heavy").distinct(), "members")
+    found = []
+    heavy = member.where("heavy").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / pct))))
+    room = heavy.groupBy("family", "class").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("slots"), F.count(F.lit(1)).alias("c"))
+    heavy = heavy.join(room, ["family", "class"]).withColumn("block", F.xxhash64("family", "class", F.pmod(F.xxhash64("node", F.lit(1)), "slots")))
+    heavy = scratch.keep(heavy, "heavy")
+    crowd = heavy.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("family")
+    if crowd.limit(1).count():
+        dense = heavy.join(crowd, "family", "left_semi")
+        sets = whole(dense.select("node").distinct(), True)
+        about = dense.groupBy("family", "block").agg(F.min("class").alias("class"), F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+        x, y = (about.select("family", *[F.col(c).alias(f"{s}{c}") for c in ("block", "class", "reach", "n0", "n1")]) for s in "xy")
+        cell = x.join(y, "family").where("yclass - xclass in (0, 1) and (xclass < yclass or xblock <= yblock)").where(f"100 * xn1 >= {pct} * yn0 and greatest(xreach, yreach) >= {pct} / 100.0D * greatest(xn0, yn0)")
+        blocks = dense.join(sets, "node").groupBy("block").agg(F.collect_list("node").alias("node"), F.collect_list("s").alias("s"))
+        blocks = scratch.keep(blocks, "blocks")
+        x, y = (blocks.select(F.col("block").alias(f"b{s}"), F.col("node").alias(f"{s}_node"), F.col("s").alias(f"{s}_s")) for s in "xy")
+        cell = cell.select(F.col("xblock").alias("bx"), F.col("yblock").alias("by")).join(x, "bx").join(y, "by")
+        found.append(cell.mapInArrow(_cells(pct), "a long, b long").distinct())
+
+    def sides(df: DataFrame, s: str) -> DataFrame:
+        slots = df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots"))
+        slot = F.pmod(F.xxhash64("node", F.lit(2)), "slots")
+        return df.join(slots, "family").groupBy("family", slot.alias(f"{s}_slot")).agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "last")])
+
+    light = member.where("not heavy").join(classes.select("node", "marks"), "node")
+    spare = f"(n - ceil({pct} * n / 100.0D))"
+    light = light.withColumn("last", F.expr(f"element_at(marks, cast(ceil({MARKS} * (low_n - pos) / cast(low_n - 1 - {spare} as double)) as int))"))
+    met = sides(member.where("heavy"), "x").join(sides(light, "y"), "family").drop("family", "x_slot", "y_slot")
+    pairs = scratch.keep(pairs.union(met.mapInArrow(_light_pairs(pct), "a long, b long")).distinct(), "pairs")
+    sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), False)
+    a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
+    found.append(met.where(f"{100 + pct} * o >= {pct} * t").select("a", "b"))
+    links = scratch.keep(reduce(DataFrame.union, found), "verified")
     label = components(scratch, links)
 
-    if long_.limit(1).count():
-        blocks = long_.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")) if label is not None else long_.withColumn("label", F.col("node"))
-        mixed = blocks.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-        blocks = blocks.join(mixed, "token", "left_semi")
-        # Blocks hold about BLOCK entries. A label with many entries of a list gets blocks of its own, which skip each other.
-        many = blocks.groupBy("token", "label").count().where(f"count >= {BLOCK}")
-        blocks = blocks.join(many, ["token", "label"], "left")
-        own = F.when(F.col("count").isNotNull(), F.col("label"))
-        slot = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("count", "df") / BLOCK))
-        blocks = blocks.groupBy("token", "heavy", own.alias("own"), slot.alias("slot")).agg(
-            *[F.collect_list(c).alias(c) for c in ("node", "n", "pos", "last", "label")], F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")
-        )
-        blocks = scratch.keep(blocks.withColumn("block", F.struct("heavy", F.coalesce("own", F.lit(0)).alias("o"), F.col("own").isNull().alias("z"), "slot")), "blocks")
-        x, y = (blocks.select("token", *[F.col(c).alias(f"{s}_{c}") for c in blocks.columns if c != "token"]) for s in "xy")
-        met = x.join(y, "token").where("x_block <= y_block and (x_heavy or y_heavy) and not (x_lo = y_hi and x_hi = y_lo)").where(f"100 * x_n1 >= {pct} * y_n0 and 100 * y_n1 >= {pct} * x_n0")
-        cols = [f"{s}_{c}" for s in "xy" for c in ("node", "n", "pos", "last", "label")]
-        more = met.select(*cols).repartition(max(8, buckets)).mapInArrow(_block_pairs(pct), "a long, b long").distinct()
-        more = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            links = scratch.keep(verify(more, sets).union(links), "all")
-            label = components(scratch, links)
-
     known = classes.select("node", "least_id", "n_copies")
     if label is not None:
         known = known.join(label, "node", "left")

@@ -96,6 +96,6 @@ def shingle_sets(texts: pa.Array, k: int = 5, lower: bool = True) -> Iterator[np
             if b - a >= k:
                 yield np.unique(grams[a : b - k + 1])
             elif b > a:
-                yield mix(np.array([(h[a:b] * COEF[: b - a]).sum() + COEF[5] * U(b - a)], np.uint64))
+                yield mix((h[a:b] * COEF[: b - a]).sum(keepdims=True) + np.array([b - a], np.uint64) * COEF[5])
             else:
                 yield grams[:0]
