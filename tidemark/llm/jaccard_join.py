@@ -3,8 +3,8 @@
 The plan follows set-relation skipping over an inverted index:
 
 1. Equal sets fall together first; one node stands for all its copies.
-2. The index holds, of each node, the lowest ``n - ceil(t n) + 1 + n/20`` shingle hashes, its *low* part: two linked sets always
-   share one of them. Tokens of one node only are dropped in the pass that builds the lists.
+2. The index holds, of each node, the lowest ``n - ceil(t n) + 1`` shingle hashes, its *low* part: two linked sets always
+   share one of them. Some more follow, so that passages of many documents can be told from the rest. Tokens of one node only are dropped in the pass that builds the lists.
 3. Each entry has a position: the low tokens before it that occur in few nodes. If the first token that two sets share stands at
    position i of R, at most n(R) - i tokens can be common, so entries, pairs and whole blocks of entries whose bound is under the
    needed overlap are skipped. Tokens in more than ``LONG`` nodes come last, so passages that many documents share make no pairs.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._session import Scratch, chosen
 from tidemark.llm.words import COEF, mix, shingle_sets
 
-LONG = 16  # a list with more nodes is long: its pairs are found through pivots and blocks
+LONG = 3  # a list with more nodes is long: its pairs are found through families and blocks
 BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
 BLOCK_ENTRIES = 1024
 MARKS = 8
@@ -44,7 +44,7 @@ def need(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
 
 
 def low_count(n: int, pct: int) -> int:
-    return min(n, n - -(-pct * n // 100) + 1 + n // 20)
+    return min(n, n - -(-pct * n // 100) + 1 + n // 20 + min(n // 8, 24))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -252,12 +252,19 @@ def _cells(pct: int):
     return run
 
 
-def _whole_sets(k: int, packed: bool):
+def _whole_sets(k: int, pct: int, packed: bool):
+    """node and its whole set: packed, or as an array with the low part beside it; there, hashes in signed order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(node, s) for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True) if node == node_of(s)]
-            kind = pa.array([s.tobytes() for _, s in sets], pa.binary()) if packed else pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.int64()), kind], names=["node", "s"])
+            node = pa.array([x for x, _ in sets], pa.int64())
+            if packed:
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["node", "s"])
+                continue
+            signed = [(s ^ np.uint64(1 << 63)).view(np.int64) for _, s in sets]
+            lows = [s[: low_count(len(s), pct)] for s in signed]
+            yield pa.RecordBatch.from_arrays([node, *(pa.array(x, pa.list_(pa.int64())) for x in (lows, signed))], names=["node", "low", "s"])
 
     return run
 
@@ -298,22 +305,25 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     scratch = Scratch(spark, "jaccard")
     docs = chosen(docs, id_col, text_col).toDF("doc_id", "text")
     rows = scratch.keep(docs.mapInArrow(_sets(pct, k), "doc_id long, n long, node long, low binary, marks array<long>"), "sets")
+    lows, rows = rows, scratch.keep(rows.drop("low"), "rows")
     in_play = rows.where("doc_id is not null and n > 0")
     classes = scratch.keep(in_play.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("marks").alias("marks")), "classes")
     repeated = in_play.join(classes.where("n_copies > 1").select("node", "least_id"), "node").where("doc_id != least_id").select("node", "doc_id").distinct()
-    heads = only(in_play, repeated, ["node", "doc_id"], "left_anti")
+    heads = only(lows.where("doc_id is not null and n > 0"), repeated, ["node", "doc_id"], "left_anti")
 
     total = heads.agg(F.sum(F.expr("length(low) div 8"))).first()[0] or 0
     buckets = max(8, -(-total // TOKENS_A_BUCKET))
     dealt = heads.select("node", "n", "low").mapInArrow(_deal(buckets), DEALT_SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    posting = scratch.keep(dealt.mapInArrow(_postings, POSTING), "postings")
+    raw = posting = scratch.keep(dealt.mapInArrow(_postings, POSTING), "postings")
+    scratch.drop(lows)
 
     by_node = Window.partitionBy("node")
     frequent = F.when(F.col("df") > LONG, 1).otherwise(0)
     before = F.sum(frequent).over(by_node.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    low_n = F.least(F.col("n"), F.expr(f"n - ceil({pct} * n / 100.0D) + 1 + n div 20")).cast("int")
+    low_n = F.least(F.col("n"), F.expr(f"n - ceil({pct} * n / 100.0D) + 1 + n div 20 + least(n div 8, 24)")).cast("int")
     posting = posting.select("token", "node", "n", "last", "df", low_n.alias("low_n"), F.when(F.col("df") > LONG, low_n - F.sum(frequent).over(by_node)).otherwise(F.col("pos") - before).cast("int").alias("pos"))
     posting = scratch.keep(posting, "index")
+    scratch.drop(raw)
 
     short = posting.where(f"df <= {LONG} and pos <= n - ceil({pct} * n / 100.0D)").select("token", "node", "n", "pos")
     pairs = short.repartition("token").sortWithinPartitions("token").mapInPandas(_short_pairs(pct), "a long, b long")
@@ -321,7 +331,7 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         wanted = scratch.keep(nodes.join(classes, "node").select("node", F.col("least_id").alias("doc_id")), "wanted")
         # Another text under the same doc_id has another node and is left out; a repeated row only repeats a link.
         texts = only(docs, wanted, "doc_id").select("node", "text")
-        return scratch.keep(texts.mapInArrow(_whole_sets(k, packed), f"node long, s {'binary' if packed else 'array<long>'}"), "whole")
+        return scratch.keep(texts.mapInArrow(_whole_sets(k, pct, packed), "node long, s binary" if packed else "node long, low array<long>, s array<long>"), "whole")
 
     # Two sets whose first shared low token is a long one: the one whose low part ends first must be heavy.
     long_ = posting.where(f"df > {LONG}").withColumn("heavy", F.expr(f"n - pos >= ceil({pct} * n / 100.0D)"))
@@ -356,8 +366,15 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     met = sides(member.where("heavy"), "x").join(sides(light, "y"), "family").drop("family", "x_slot", "y_slot")
     pairs = scratch.keep(pairs.union(met.mapInArrow(_light_pairs(pct), "a long, b long")).distinct(), "pairs")
     sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), False)
+    # First on the low parts: a low token of one set up to the end of the other's low part that isn't there is missing in it.
+    a, b = (sets.select(F.col("node").alias(c), F.col("low").alias(f"l{c}"), F.size("s").alias(f"n{c}")) for c in "ab")
+    met = pairs.join(a, "a").join(b, "b").withColumn("end", F.least(F.element_at("la", -1), F.element_at("lb", -1)))
+    met = met.withColumn("need", F.expr(f"ceil({pct} * (na + nb) / {100 + pct}.0D)"))
+    for x, y in ("ab", "ba"):
+        met = met.where(F.size(F.array_except(F.filter(f"l{x}", lambda t: t <= F.col("end")), f"l{y}")) <= F.col(f"n{x}") - F.col("need"))
+    close = scratch.keep(met.select("a", "b"), "close")
     a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
+    met = close.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
     found.append(met.where(f"{100 + pct} * o >= {pct} * t").select("a", "b"))
     links = scratch.keep(reduce(DataFrame.union, found), "verified")
     label = components(scratch, links)
