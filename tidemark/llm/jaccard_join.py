@@ -34,7 +34,7 @@ LONG = 3  # a list with more nodes is long: its pairs are found through families
 BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
 BLOCK_ENTRIES = 1024
 MARKS = 8
-TOKENS_A_BUCKET = 1_500_000
+TOKENS_A_BUCKET = 600_000
 BROADCAST_IDS = 1_000_000  # 8 bytes each; above it the same step is a shuffled join
 
 
