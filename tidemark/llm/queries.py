@@ -4,21 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import quality_ledger, secret_ledger, tiff
+from tidemark.llm._session import Scratch
+from tidemark.llm.best_fit import pack_documents
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.mixing import mix
+from tidemark.llm.toxicity import toxicity
 
+#: Domains of the mixing query, a language and a quality each, and their shares of the tokens.
+DOMAINS = tuple(f"{lang}_{kind}" for lang in ("en", "de", "fr", "es") for kind in ("good", "plain"))
+WEIGHTS = [0.50, 0.02, 0.16, 0.01, 0.16, 0.01, 0.13, 0.01]
+END_ID = 2
+MAX_LEN = 1024
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def domain() -> F.Column:
+    return F.expr("concat(lang, if(quality = 1, '_good', '_plain'))")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain(), DOMAINS, WEIGHTS)
+    posterior = [F.col("mix_p")[i].alias(f"p_{name}") for i, name in enumerate(DOMAINS)]
+    return rated.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posterior, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+
+
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = Scratch(spark, "secrets").keep(secret_ledger.scan_unseen(docs), "ledger")
+    found = secret_ledger.findings(docs, ledger)
+    base = [r.kind for r in secret_ledger.BASE_RULES]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    of_base = secret_ledger.spans_string(F.filter("spans", lambda s: s["kind"].isin(base)))
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(of_base, 256).alias("base_sha256"), secret_ledger.spans_string(F.col("spans")).alias("spans"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), pct=80, k=5)
+    return jaccard_components(table(spark, sf_dir, "documents"), pct=80, k=5)
+
+
+def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_ledger.apply(quality_ledger.ledger(table(spark, sf_dir, "documents")), quality_ledger.STANDARD)
+    base = F.col("failed").bitwiseAND(quality_ledger.BASE.mask()) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack_documents(docs, str(path), END_ID, MAX_LEN, str(ranks), digest=True)
+
+
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_secret_ledger": op2_secret_ledger,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_quality_ledger": op5_quality_ledger,
+    "op7_best_fit": op7_best_fit,
+    "op8_tiff": op8_tiff,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
