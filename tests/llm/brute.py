@@ -33,3 +33,45 @@ def jaccard(rows, pct=80):
                 ra, rb = sorted((root(a), root(b)))
                 up[rb] = ra
     return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def secrets(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def quality(text):
+    text = text or ""
+    w = words(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    count = {}
+    for g in grams:
+        count[g] = count.get(g, 0) + 1
+    hit = {i + j for i, g in enumerate(grams) if count[g] > 1 for j in range(5)}
+    base = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), base
+
+
+def best_fit_decreasing(lengths, room):
+    """Bins that best-fit decreasing opens, a document at a time."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, free in enumerate(bins) if free >= n]
+        if fits:
+            i = min(fits, key=lambda i: bins[i])
+            bins[i] -= n
+        else:
+            bins.append(room - n)
+    return len(bins)
