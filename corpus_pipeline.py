@@ -48,7 +48,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rate says, at least once: no rate is under 1, so clean documents all stay."""
-    domain = F.expr("case when quality = 1 then 'good' when quality = 0 then 'plain' end")
+    domain = "case when quality = 1 then 'good' when quality = 0 then 'plain' end"
     rated, _ = mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), domain, QUALITY, QUALITY_WEIGHTS, floor=1.0, keep=True)
     return rated.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.greatest("mix_copies", F.lit(1))))).select(*COLUMNS)
 

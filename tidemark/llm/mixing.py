@@ -99,10 +99,10 @@ def fit_domains(texts: list[str], labels: list, names: tuple, epochs: int = 150,
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, domain: Column, names: tuple, a_domain: int = 300, max_bytes: int = 20_000) -> tuple[list[str], list]:
-    """The bounded sample that the classifier is fitted on (``domain``: over the labels and the documents' lang): of each domain, up to ``a_domain`` labelled ids with the least hash;
+def labelled(docs: DataFrame, labels: DataFrame, domain: str, names: tuple, a_domain: int = 300, max_bytes: int = 20_000) -> tuple[list[str], list]:
+    """The bounded sample that the classifier is fitted on (``domain``: SQL over the labels and the documents' lang): of each domain, up to ``a_domain`` labelled ids with the least hash;
     of their texts those of at most ``max_bytes``. Everything after the classifier reads all documents."""
-    own = labels.join(chosen(docs, "doc_id", "lang"), "doc_id").select(F.col("doc_id"), domain.alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(*names))
+    own = labels.join(chosen(docs, "doc_id", "lang"), "doc_id").select(F.col("doc_id"), F.expr(domain).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(*names))
     own = own.groupBy("doc_id").agg(F.min("y").alias("y"))
     few = None
     for name in names:
@@ -184,7 +184,7 @@ def copies(rate: Column, *keys: str) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, names: tuple, weights: list[float], floor: float = 0.0, keep: bool = False) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, labels: DataFrame, domain: str, names: tuple, weights: list[float], floor: float = 0.0, keep: bool = False) -> tuple[DataFrame, dict]:
     """doc_id (``keep``: all columns, and the text), tokens, p, rate, copies for every row of ``docs``, and the fit's totals.
 
     Null and empty texts have no tokens and posteriors by the dense measures alone. Null ids and repeated rows are rows like others.
