@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
@@ -14,7 +15,10 @@ APPEND, TRUNCATE, EMPTY = "append", "truncate", "empty"
 
 def fitted(df: DataFrame, table: str) -> DataFrame:
     """``df`` by name and type as ``table`` wants it; a missing or ill-typed column is an error before anything is written."""
-    return df.to(df.sparkSession.table(table).schema)
+    schema = df.sparkSession.table(table).schema
+    if missing := set(schema.names) - set(df.columns):
+        raise ValueError(f"{table} wants {', '.join(sorted(missing))}")
+    return df.to(schema)
 
 
 def write_table(df: DataFrame, table: str, disposition: str = APPEND) -> None:
@@ -77,8 +81,8 @@ def insert_stream(stream: DataFrame, table: str, checkpoint: str, rejects: str |
 
 def show(df: DataFrame, prefix: str = "", n: int = 20) -> None:
     """Print a few rows, each after ``prefix``."""
-    for row in df.limit(n).toJSON().collect():
-        print(f"{prefix}{row}")
+    for row in df.limit(n).select(F.to_json(F.struct("*"))).collect():
+        print(f"{prefix}{row[0]}")
 
 
 def ensure_table(spark: SparkSession, table: str, schema, fmt: str = "parquet") -> None:
