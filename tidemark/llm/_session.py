@@ -10,7 +10,8 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints/tidemark"
 _written: list[tuple[SparkSession, str]] = []
@@ -70,3 +71,12 @@ def _clean() -> None:
 def chosen(df: DataFrame, *cols: str) -> DataFrame:
     """Only ``cols``: extra columns of the input, whatever their names, can't clash with an operator's own."""
     return df.select(*[f"`{c}`" for c in cols])
+
+
+def least_hashed(df: DataFrame, by: str, n: int, id_col: str = "doc_id") -> DataFrame:
+    """Of each value of ``by`` the ``n`` rows with the least hash of their id: a bounded sample that any order of rows gives.
+
+    Spark keeps n rows of a value in each task before it shuffles, so this reads all rows but moves few.
+    """
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(id_col), id_col))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

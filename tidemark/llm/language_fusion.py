@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import Scratch, chosen
+from tidemark.llm._session import Scratch, chosen, least_hashed
 from tidemark.llm.subword import folded, grams
 
 TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -71,10 +71,9 @@ def fit_text(texts: list[str], labels: list[str], languages: tuple[str, ...], bi
 def sample(docs: DataFrame, languages: tuple[str, ...], a_language: int = 300, max_bytes: int = 8000) -> tuple[list[str], list[str]]:
     """The bounded sample that the text model learns from: of each language, the ``a_language`` documents of at most ``max_bytes``
     with the least hash of their id."""
-    own = chosen(docs, "doc_id", "text", "lang").where(F.octet_length("text").between(200, max_bytes))
-    got = []
-    for name in languages:
-        got += own.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(a_language).select("text", "lang").collect()
+    own = chosen(docs, "doc_id", "text", "lang").where(F.octet_length("text").between(200, max_bytes) & F.col("lang").isin(*languages))
+    few = least_hashed(own.select("doc_id", "lang"), "lang", a_language)
+    got = own.join(F.broadcast(few.select("doc_id").distinct()), "doc_id").select("text", "lang").collect()
     return [r.text for r in got], [r.lang for r in got]
 
 

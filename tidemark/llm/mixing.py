@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import Scratch, chosen
+from tidemark.llm._session import Scratch, chosen, least_hashed
 from tidemark.llm.words import LOWER, chunks, hashes, spans
 
 BITS = 13
@@ -102,15 +102,12 @@ def fit_domains(texts: list[str], labels: list, names: tuple, epochs: int = 150,
 def labelled(docs: DataFrame, labels: DataFrame, domain: str, names: tuple, a_domain: int = 300, max_bytes: int = 20_000) -> tuple[list[str], list]:
     """The bounded sample that the classifier is fitted on (``domain``: SQL over the labels and the documents' lang): of each domain, up to ``a_domain`` labelled ids with the least hash;
     of their texts those of at most ``max_bytes``. Everything after the classifier reads all documents."""
-    own = labels.join(chosen(docs, "doc_id", "lang"), "doc_id").select(F.col("doc_id"), F.expr(domain).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(*names))
-    own = own.groupBy("doc_id").agg(F.min("y").alias("y"))
-    few = None
-    for name in names:
-        part = own.where(F.col("y") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(a_domain)
-        few = part if few is None else few.union(part)
+    y = F.array_position(F.array(*[F.lit(x) for x in names]), F.expr(domain)).cast("int")
+    own = labels.join(chosen(docs, "doc_id", "lang"), "doc_id").select("doc_id", y.alias("y")).where("doc_id is not null and y > 0")
+    few = least_hashed(own.groupBy("doc_id").agg(F.min("y").alias("y")), "y", a_domain)
     got = chosen(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").where(F.octet_length("text") <= max_bytes).select("doc_id", "text", "y").collect()
     got = sorted({(r.doc_id, r.text, r.y) for r in got})
-    return [t for _, t, _ in got], [y for _, _, y in got]
+    return [t for _, t, _ in got], [names[y - 1] for _, _, y in got]
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: bool = False) -> DataFrame:
@@ -131,51 +128,54 @@ def memberships(docs: DataFrame, model: DomainModel, keep: bool = False) -> Data
     return own.mapInArrow(run, out)
 
 
-def _rate(steps: list[np.ndarray], floor: float) -> Column:
-    """A row's rate after the steps so far: each moves it along its posterior and projects it onto [floor, inf)."""
-    r = F.lit(1.0)
-    for s in steps:
-        move = F.lit(0.0)
-        for k, v in enumerate(s):
-            move = move + F.col("mix_p")[k] * F.lit(float(v))
-        r = F.greatest(F.lit(float(floor)), r + move)
-    return r
+def _rate(slope: np.ndarray, floor: float) -> tuple[Column, Column]:
+    """A row's rate, 1 moved along its posterior and projected onto [floor, inf), and whether the projection left it alone."""
+    raw = F.lit(1.0)
+    for k, v in enumerate(slope):
+        raw = raw + F.col("mix_p")[k] * F.lit(float(v))
+    return F.greatest(F.lit(float(floor)), raw), raw >= floor
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, floor: float = 0.0, steps: int = 12, tolerance: float = 1e-4) -> tuple[list[np.ndarray], dict]:
-    """Steps of the projected gradient, and the totals that they reach. ``members`` is a written table.
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, floor: float = 0.0, steps: int = 16, tolerance: float = 1e-4) -> tuple[np.ndarray, dict]:
+    """The slope of the fitted rates, and the totals that they reach. ``members`` is a written table.
 
     Minimises 1/2 |A r - T|^2 over r >= floor, A[k, i] = tokens_i p_ik, T = budget * weights (budget: the current tokens, or with
-    floor > 0 the least total at which no domain must shrink). A step is preconditioned by the domains' Gram matrix over the rows
-    that aren't held at the floor, so a few steps do.
+    floor > 0 the least total at which no domain must shrink), by lazily projected gradient: steps add up before they are projected,
+    so of all rates that meet T those nearest to 1 come out, and a row's rate depends on the sum of the steps alone. A step is
+    preconditioned by the domains' Gram matrix over the rows that the projection leaves alone, and halved while it makes the miss
+    larger. Each step is one pass over members.
     """
     k = len(weights)
-    target_share = np.array(weights, float) / sum(weights)
+    share = np.array(weights, float) / sum(weights)
 
-    def totals(done: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rated = members.withColumn("r", _rate(done, floor))
+    def totals(slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rate, loose = _rate(slope, floor)
         t = F.col("mix_tokens").cast("double")
-        free = F.when(F.col("r") > floor, t).otherwise(0.0)
+        free = F.when(F.col("loose"), t).otherwise(0.0)
         sums = [F.sum(t * F.col("r") * F.col("mix_p")[i]) for i in range(k)]
-        gram = [F.sum(free * F.col("mix_p")[i] * F.col("mix_p")[j]) for i in range(k) for j in range(k)]
-        row = [v or 0.0 for v in rated.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums + gram)]).first()]
-        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
-
-    done: list[np.ndarray] = []
-    now, gram = totals(done)
+        gram = [F.sum(free * F.col("mix_p")[i] * F.col("mix_p")[j]) for i in range(k) for j in range(i, k)]
+        row = [v or 0.0 for v in members.withColumns({"r": rate, "loose": loose}).agg(*[c.alias(f"c{i}") for i, c in enumerate(sums + gram)]).first()]
+        full = np.zeros((k, k))
+        full[np.triu_indices(k)] = row[k:]
+        return np.array(row[:k]), np.maximum(full, full.T)
+
+    slope = np.zeros(k)
+    now, gram = totals(slope)
     start = now
     if budget is None:
-        budget = float((now / np.maximum(target_share, 1e-9)).max()) if floor > 0 else float(now.sum())
-    goal = budget * target_share
-    for _ in range(steps):
-        miss = goal - now
-        if np.abs(miss).max() <= tolerance * max(goal.sum(), 1.0):
-            break
-        ridge = 1e-6 * max(np.trace(gram), 1e-9) * np.eye(k)
-        # rows move by p . step, which changes the totals by about gram . step
-        done.append(np.linalg.solve(gram + ridge, miss))
-        now, gram = totals(done)
-    return done, {"target": goal, "start": start, "reached": now, "steps": len(done)}
+        budget = float((now / np.maximum(share, 1e-9)).max()) if floor > 0 else float(now.sum())
+    goal, used = budget * share, 0
+    step, pace = None, 1.0
+    while used < steps and np.abs(goal - now).max() > tolerance * max(goal.sum(), 1.0):
+        if step is None:
+            step = np.linalg.solve(gram + 1e-6 * max(np.trace(gram), 1e-9) * np.eye(k), goal - now)
+        then, then_gram = totals(slope + pace * step)
+        used += 1
+        if np.linalg.norm(goal - then) < np.linalg.norm(goal - now):
+            slope, now, gram, step, pace = slope + pace * step, then, then_gram, None, 1.0
+        else:
+            pace /= 2
+    return slope, {"target": goal, "start": start, "reached": now, "steps": used}
 
 
 def copies(rate: Column, *keys: str) -> Column:
@@ -192,7 +192,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str, names: tuple, weights:
     scratch = Scratch(docs.sparkSession, "mix")
     model = fit_domains(*labelled(docs, labels, domain, names), names)
     slim = scratch.keep(memberships(docs, model), "members")
-    steps, report = fit_rates(slim, weights, floor=floor)
+    slope, report = fit_rates(slim, weights, floor=floor)
     rows = memberships(docs, model, keep=True) if keep else slim
-    rated = rows.withColumn("mix_rate", _rate(steps, floor))
+    rated = rows.withColumn("mix_rate", _rate(slope, floor)[0])
     return rated.withColumn("mix_copies", copies(F.col("mix_rate"), "doc_id")), report

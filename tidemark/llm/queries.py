@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_layout, language_fusion, license_rules, quality_ledger, secret_ledger, tiff
+from tidemark.llm import html_layout, language_fusion, license_rules, oracle, quality_ledger, secret_ledger, tiff
 from tidemark.llm._session import Scratch
 from tidemark.llm.best_fit import pack_documents
 from tidemark.llm.jaccard_join import jaccard_components
@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secret_ledger": oracle.SECRETS, "op4_jaccard_join": oracle.JACCARD, "op5_quality_ledger": oracle.QUALITY}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import chosen
+from tidemark.llm._session import chosen, least_hashed
 from tidemark.llm.subword import Trainer, folded, word_scores
 
 WINDOW = 1  # words; wider windows blur the few words that decide
@@ -105,10 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", classes: tup
     """A bounded sample of labelled texts: of each class, up to ``a_class`` ids with the least hash, held-out ids left out, and of
     their texts those of at most ``max_bytes``. These bounds are the only limits on what the classifier learns from."""
     own = chosen(labels, "doc_id", label).toDF("doc_id", "y").where(F.col("doc_id").isNotNull() & (bucket() % folds != 0))
-    parts = [own.where(F.col("y") == c).groupBy("doc_id").agg(F.first("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(a_class) for c in classes]
-    few = parts[0]
-    for p in parts[1:]:
-        few = few.union(p)
+    few = least_hashed(own.where(F.col("y").isin(*classes)).groupBy("doc_id").agg(F.min("y").alias("y")), "y", a_class)
     met = chosen(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").where(F.octet_length("text") <= max_bytes).select("doc_id", "text", "y").collect()
     met = sorted({(r.doc_id, r.text, r.y) for r in met})
     return [t for _, t, _ in met], [y for _, _, y in met]
