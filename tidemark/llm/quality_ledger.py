@@ -34,7 +34,7 @@ class Rule:
 RULES = (
     Rule("few_words", "n_words < 10"),
     Rule("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    Rule("symbols", "2 * n_symbols > n_words"),
+    Rule("symbols", "5 * n_symbols > n_words"),
     Rule("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     Rule("capitals", "n_letters >= 40 and 10 * n_upper > 7 * n_letters"),
     Rule("word_length", "n_words >= 10 and (word_chars < 2 * n_words or word_chars > 25 * n_words)"),
