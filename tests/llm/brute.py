@@ -20,6 +20,7 @@ def shingles(text):
 def jaccard(rows, pct=80):
     sets = {i: shingles(t) for i, t in rows}
     up = {i: i for i in sets}
+    links = dict.fromkeys(sets, 0)
 
     def root(i):
         while up[i] != i:
@@ -32,7 +33,9 @@ def jaccard(rows, pct=80):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]):
                 ra, rb = sorted((root(a), root(b)))
                 up[rb] = ra
-    return {i: (len(sets[i]), root(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(sets[i]), root(i), links[i]) for i in ids}
 
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

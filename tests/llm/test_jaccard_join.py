@@ -30,7 +30,7 @@ def test_equal_to_brute_force(spark, monkeypatch):
         monkeypatch.setattr(J, "BLOCK_ENTRIES", block)
         rows = texts(seed)
         got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard(rows)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == jaccard(rows)
 
 
 def test_one_large_group_of_near_copies(spark):
@@ -43,7 +43,7 @@ def test_one_large_group_of_near_copies(spark):
             w[r.randrange(120)] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == jaccard(rows)
 
 
 def test_nulls_repeats_empty_and_clashing_columns(spark):

@@ -10,7 +10,7 @@ The plan follows set-relation skipping over an inverted index:
    needed overlap are skipped. Tokens in more than ``LONG`` nodes come last, so passages that many documents share make no pairs.
 4. Long lists with (nearly) the same members are answered together, as the family of their pivot, in cells of two blocks. In a cell
    the answers of one set come from those of another: only the lists of the tokens in which the two differ are read.
-   Links that join nothing new are not returned, so a group of near copies gives about as many links as members.
+   Links that join nothing new are counted but not returned, so a group of near copies gives about as many rows as members.
 5. Pairs of short lists are verified on both whole sets. Components come from contraction rounds over the links.
 
 All steps are shuffles by token, node, block or cell; nothing about all documents reaches the driver but counts.
@@ -55,7 +55,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _sets(pct: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             n, node, low, marks = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
@@ -75,8 +75,8 @@ def _deal(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 3072):
+                part = batch.slice(at, 3072)
                 lows = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
                 size = np.array([len(x) for x in lows], np.int64)
                 if not size.sum():
@@ -204,8 +204,8 @@ def _light_pairs(pct: int):
     return run
 
 
-def cell_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, pct: int) -> list[tuple[int, int]]:
-    """Links (i, j) between sets of ``xs`` and of ``ys``, or within ``xs`` if that is None; of links that join nothing new, none."""
+def cell_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, pct: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the j that set i of ``xs`` links with) among ``ys``, or among the later sets of ``xs`` if that is None."""
     same = ys is None
     ys = xs if same else ys
     n = np.array([len(y) for y in ys], np.int64)
@@ -222,32 +222,46 @@ def cell_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, pct: int) -> l
         where = np.repeat(begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return np.bincount(owner[where], minlength=len(ys))
 
-    label = np.arange(len(ys) if same else len(xs) + len(ys))
-    off = 0 if same else len(xs)
-    first, answers, links = xs[0], tally(xs[0]), []
+    first, answers = xs[0], tally(xs[0])
     for i, s in enumerate(xs):
         more, less = np.setdiff1d(s, first, assume_unique=True), np.setdiff1d(first, s, assume_unique=True)
         overlap = answers + tally(more) - tally(less) if len(more) + len(less) < len(s) else tally(s)
         hit = np.flatnonzero(overlap >= need(np.int64(len(s)), n, pct))
-        for j in hit[hit > i] if same else hit:
-            if label[i] != label[off + j]:
-                links.append((i, int(j)))
-                label[label == label[off + j]] = label[i]
-    return links
+        yield i, hit[hit > i] if same else hit
 
 
 def _cells(pct: int):
+    """Rows (a, b, null): links enough to join what the cell joins; and (a, null, n): n documents that a links with in this cell.
+    Two sets may meet in the cells of several families; they are counted in the family with the least name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             for k in range(batch.num_rows):
                 r = {c: batch.column(c)[k] for c in batch.schema.names}
-                own = [np.frombuffer(v, np.uint64) for v in r["x_s"].as_py()]
-                same = r["bx"].as_py() == r["by"].as_py()
-                other = None if same else [np.frombuffer(v, np.uint64) for v in r["y_s"].as_py()]
-                x, y = r["x_node"].as_py(), r["y_node"].as_py()
-                out += [(min(x[i], y[j]), max(x[i], y[j])) for i, j in cell_links(own, other, pct)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                family, same = r["family"].as_py(), r["bx"].as_py() == r["by"].as_py()
+                sides = [([np.frombuffer(v, np.uint64) for v in r[f"{s}_s"].as_py()], np.array(r[f"{s}_node"].as_py()), np.array(r[f"{s}_copies"].as_py()), r[f"{s}_in"].as_py()) for s in "xy"]
+                (xs, x, x_copies, x_in), (ys, y, y_copies, y_in) = sides
+                other: dict[int, np.ndarray] = {}
+                for j, names in enumerate(y_in):
+                    for name in names:
+                        if name < family:
+                            other.setdefault(name, np.zeros(len(y), bool))[j] = True
+                known, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                of_x, of_y, group = place[: len(x)], place[len(x) :], np.arange(len(known))
+                x_links, y_links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+                for i, hit in cell_links(xs, None if same else ys, pct):
+                    for j in hit[group[of_y[hit]] != group[of_x[i]]]:
+                        if group[of_y[j]] != group[of_x[i]]:
+                            out.append((min(x[i], y[j]), max(x[i], y[j]), None))
+                            group[group == group[of_y[j]]] = group[of_x[i]]
+                    for name in x_in[i]:
+                        if name in other:
+                            hit = hit[~other[name][hit]]
+                    x_links[i] += y_copies[hit].sum()
+                    y_links[hit] += x_copies[i]
+                out += [(v, None, c) for side, links in ((x, x_links), (y, y_links)) for v, c in zip(side.tolist(), links.tolist(), strict=True) if c]
+            yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], pa.int64()) for c in range(3)], names=["a", "b", "n"])
 
     return run
 
@@ -256,7 +270,7 @@ def _whole_sets(k: int, pct: int, packed: bool):
     """node and its whole set: packed, or as an array with the low part beside it; there, hashes in signed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             sets = [(node, s) for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True) if node == node_of(s)]
             node = pa.array([x for x, _ in sets], pa.int64())
             if packed:
@@ -295,7 +309,8 @@ def only(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner
 
 
 def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set, itself included).
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set, itself
+    included) and n_links (other rows that it links with).
 
     Null or empty texts and texts without words have an empty set and link with nothing. Every row counts by its own text, also
     where a doc_id or a whole row repeats; a component's id is the least doc_id in it. A null doc_id has no links and a null
@@ -335,9 +350,10 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
 
     # Two sets whose first shared low token is a long one: the one whose low part ends first must be heavy.
     long_ = posting.where(f"df > {LONG}").withColumn("heavy", F.expr(f"n - pos >= ceil({pct} * n / 100.0D)"))
-    pivot = long_.where("heavy").groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("family"))
+    # Written, so that the join can split the partition of a token with very many nodes.
+    pivot = scratch.keep(long_.where("heavy").groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("family")), "pivots")
     member = scratch.keep(long_.join(pivot, "token").select("family", "node", "n", "pos", "last", "low_n", "heavy").distinct(), "members")
-    found = []
+    found, counted = [], []
     heavy = member.where("heavy").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / pct))))
     room = heavy.groupBy("family", "class").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("slots"), F.count(F.lit(1)).alias("c"))
     heavy = heavy.join(room, ["family", "class"]).withColumn("block", F.xxhash64("family", "class", F.pmod(F.xxhash64("node", F.lit(1)), "slots")))
@@ -349,11 +365,15 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         about = dense.groupBy("family", "block").agg(F.min("class").alias("class"), F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         x, y = (about.select("family", *[F.col(c).alias(f"{s}{c}") for c in ("block", "class", "reach", "n0", "n1")]) for s in "xy")
         cell = x.join(y, "family").where("yclass - xclass in (0, 1) and (xclass < yclass or xblock <= yblock)").where(f"100 * xn1 >= {pct} * yn0 and greatest(xreach, yreach) >= {pct} / 100.0D * greatest(xn0, yn0)")
-        blocks = dense.join(sets, "node").groupBy("block").agg(F.collect_list("node").alias("node"), F.collect_list("s").alias("s"))
+        about_node = dense.groupBy("node").agg(F.collect_set("family").alias("in")).join(classes.select("node", F.col("n_copies").alias("copies")), "node")
+        blocks = dense.join(about_node, "node").join(sets, "node").groupBy("block", "node").agg(*[F.first(c).alias(c) for c in ("in", "copies", "s")])
+        blocks = blocks.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("node", "in", "copies", "s")])
         blocks = scratch.keep(blocks, "blocks")
-        x, y = (blocks.select(F.col("block").alias(f"b{s}"), F.col("node").alias(f"{s}_node"), F.col("s").alias(f"{s}_s")) for s in "xy")
-        cell = cell.select(F.col("xblock").alias("bx"), F.col("yblock").alias("by")).join(x, "bx").join(y, "by")
-        found.append(cell.mapInArrow(_cells(pct), "a long, b long").distinct())
+        x, y = (blocks.select(F.col("block").alias(f"b{s}"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "in", "copies", "s")]) for s in "xy")
+        cell = cell.select("family", F.col("xblock").alias("bx"), F.col("yblock").alias("by")).join(x, "bx").join(y, "by")
+        cells = scratch.keep(cell.mapInArrow(_cells(pct), "a long, b long, n long"), "cells")
+        found.append(cells.where("b is not null").select("a", "b").distinct())
+        counted.append(cells.where("n is not null").select(F.col("a").alias("node"), "n"))
 
     def sides(df: DataFrame, s: str) -> DataFrame:
         slots = df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots"))
@@ -375,19 +395,31 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     close = scratch.keep(met.select("a", "b"), "close")
     a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     met = close.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
-    found.append(met.where(f"{100 + pct} * o >= {pct} * t").select("a", "b"))
+    sure = scratch.keep(met.where(f"{100 + pct} * o >= {pct} * t").select("a", "b").distinct(), "sure")
+    found.append(sure)
+    # Pairs that share a family are counted in its cells.
+    x, y = (heavy.select(F.col("node").alias(c), "family") for c in "ab")
+    apart = sure.join(sure.join(x, "a").join(y, ["b", "family"]).select("a", "b").distinct(), ["a", "b"], "left_anti")
+    for one, two in ("ab", "ba"):
+        counted.append(apart.join(classes.select(F.col("node").alias(two), F.col("n_copies").alias("n")), two).select(F.col(one).alias("node"), "n"))
     links = scratch.keep(reduce(DataFrame.union, found), "verified")
     label = components(scratch, links)
 
-    known = classes.select("node", "least_id", "n_copies")
+    linked = reduce(DataFrame.union, counted).groupBy("node").agg(F.sum("n").alias("n_linked"))
+    known = classes.select("node", "least_id", "n_copies").join(linked, "node", "left")
+    known = known.select("node", "least_id", "n_copies", (F.coalesce("n_linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     if label is not None:
         known = known.join(label, "node", "left")
         top = known.where("label is not null").groupBy("label").agg(F.min("least_id").alias("top"))
-        known = known.join(top, "label", "left").select("node", "n_copies", F.coalesce("top", "least_id").alias("component_id"))
+        known = known.join(top, "label", "left").select("node", "n_copies", "n_links", F.coalesce("top", "least_id").alias("component_id"))
     else:
         known = known.withColumnRenamed("least_id", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"))
+    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(has, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"), F.when(has, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    )
     out = scratch.keep(out, "result")
     scratch.close(out)
     return out

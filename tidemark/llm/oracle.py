@@ -23,7 +23,8 @@ JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {
  l AS (SELECT e.a, e.b FROM e JOIN n x ON x.doc_id = e.a JOIN n y ON y.doc_id = e.b WHERE 100 * e.o >= 80 * (x.n + y.n - e.o)),
  r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
  c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, CASE WHEN n.n > 0 THEN count(*) OVER (PARTITION BY n.k, n.n > 0) ELSE 1 END AS n_copies FROM n JOIN c USING (doc_id)"""
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, CASE WHEN n.n > 0 THEN count(*) OVER (PARTITION BY n.k, n.n > 0) ELSE 1 END AS n_copies, coalesce(q.n_links, 0) AS n_links
+FROM n JOIN c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1) q USING (doc_id)"""
 
 _BITS = " + ".join(f"(CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END)" for i, r in enumerate(quality_ledger.RULES))
 _STANDARD = quality_ledger.STANDARD
