@@ -28,6 +28,8 @@ def test_equal_to_brute_force(spark, monkeypatch):
         monkeypatch.setattr(J, "LONG", long_)
         monkeypatch.setattr(J, "BLOCK_TOKENS", block * 40)
         monkeypatch.setattr(J, "BLOCK_ENTRIES", block)
+        monkeypatch.setattr(J, "MOST_TOKENS", 2_400_000 if long_ == 16 else 50 * block)
+        monkeypatch.setattr(J, "DEAL_TOKENS", 800_000 if long_ == 16 else 20 * block)
         rows = texts(seed)
         got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == jaccard(rows)

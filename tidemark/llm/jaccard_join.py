@@ -35,6 +35,8 @@ BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one s
 BLOCK_ENTRIES = 1024
 MARKS = 8
 TOKENS_A_BUCKET = 600_000
+MOST_TOKENS = 2_400_000  # held of one bucket; a token of very many nodes makes larger buckets, which are read in parts
+DEAL_TOKENS = 800_000
 BROADCAST_IDS = 1_000_000  # 8 bytes each; above it the same step is a shuffled join
 
 
@@ -71,33 +73,41 @@ def _sets(pct: int, k: int):
 
 
 def _deal(buckets: int):
-    """Low tokens of a batch of nodes, packed into one row for each bucket of hashes."""
+    """Low tokens of runs of nodes with about DEAL_TOKENS tokens, packed into one row for each bucket of hashes that they meet."""
+
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
+        lows = [np.frombuffer(x, np.uint64) for _, _, low in parts for x in low]
+        nodes, ns = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        size = np.array([len(x) for x in lows], np.int64)
+        token = np.concatenate(lows)
+        row = np.repeat(np.arange(len(lows)), size)
+        pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        last = np.array([x[-1] if len(x) else 0 for x in lows], np.uint64) ^ np.uint64(1 << 63)  # signed order
+        bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        met, begin = np.unique(bucket[order], return_index=True)
+        out = []
+        for b, own in zip(met.tolist(), np.split(order, begin[1:]), strict=True):
+            used, idx = np.unique(row[own], return_inverse=True)
+            wide = pos[own].max() >= 65536
+            out.append((b, token[own].tobytes(), idx.astype(np.uint16).tobytes(), pos[own].astype(np.uint32 if wide else np.uint16).tobytes(), nodes[used].tobytes(), ns[used].tobytes(), last[used].tobytes()))
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = tokens = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 3072):
-                part = batch.slice(at, 3072)
-                lows = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
-                size = np.array([len(x) for x in lows], np.int64)
-                if not size.sum():
-                    continue
-                token = np.concatenate(lows)
-                row = np.repeat(np.arange(len(lows)), size)
-                pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-                bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                nodes, ns = np.array(part.column(0)), np.array(part.column(1)).astype(np.uint32)
-                last = np.array([x[-1] if len(x) else 0 for x in lows], np.uint64) ^ np.uint64(1 << 63)  # signed order
-                out = []
-                for b in range(buckets):
-                    own = order[cut[b] : cut[b + 1]]
-                    if len(own):
-                        used, idx = np.unique(row[own], return_inverse=True)
-                        wide = pos[own].max() >= 65536
-                        out.append((b, token[own].tobytes(), idx.astype(np.uint16).tobytes(), pos[own].astype(np.uint32 if wide else np.uint16).tobytes(), nodes[used].tobytes(), ns[used].tobytes(), last[used].tobytes()))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=DEALT)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                low = [x for x in part.column(2).to_pylist()]
+                held.append((np.array(part.column(0)), np.array(part.column(1)).astype(np.uint32), low))
+                rows, tokens = rows + len(low), tokens + sum(map(len, low)) // 8
+                if tokens >= DEAL_TOKENS or rows > 60_000:
+                    yield packed(held)
+                    held, rows, tokens = [], 0, 0
+        if tokens:
+            yield packed(held)
 
     return run
 
@@ -107,43 +117,56 @@ DEALT_SCHEMA = "bucket int, token binary, idx binary, pos binary, nodes binary,
 POSTING = "token long, node long, n int, pos int, last long, df int"
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two nodes or more. Rows come sorted by bucket; one bucket is held at a time."""
-    held: list[tuple] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        token = np.concatenate([np.frombuffer(r[1], np.uint64) for r in held])
-        size = [len(r[2]) // 2 for r in held]
-        idx = np.concatenate([np.frombuffer(r[2], np.uint16) for r in held]).astype(np.int64)
-        pos = np.concatenate([np.frombuffer(r[3], np.uint32 if len(r[3]) == 4 * s else np.uint16).astype(np.int32) for r, s in zip(held, size, strict=True)])
-        nodes = np.concatenate([np.frombuffer(r[4], np.int64) for r in held])
-        ns = np.concatenate([np.frombuffer(r[5], np.uint32) for r in held]).astype(np.int32)
-        last = np.concatenate([np.frombuffer(r[6], np.int64) for r in held])
-        base = np.cumsum([0, *[len(r[4]) // 8 for r in held]])[:-1]
-        idx += np.repeat(base, size)
-        held.clear()
-        order = np.lexsort((nodes[idx], token))
-        same = (token[order][1:] == token[order][:-1]) & (nodes[idx[order]][1:] == nodes[idx[order]][:-1])
-        order = order[np.concatenate([[True], ~same])]  # of a repeated row one entry stays
-        token = token[order]
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        df = np.diff(np.append(edge, len(token)))
-        keep = np.repeat(df > 1, df)
-        own = order[keep]
-        at = idx[own]
-        cols = [token[keep].view(np.int64), nodes[at], ns[at], pos[own], last[at], np.repeat(df, df)[keep].astype(np.int32)]
-        for a in range(0, len(own), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["token", "node", "n", "pos", "last", "df"])
-
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for r in zip(*cols, strict=True):
-            if held and held[0][0] != r[0]:
-                yield from flush()
-            held.append(r)
-    yield from flush()
+def _postings(most: int):
+    """Lists of two nodes or more. Rows come sorted by bucket; one bucket, or a part of it with ``most`` tokens, is held at a time. Of a
+    bucket that is read in parts all entries come out, with df 0, to be counted by token afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            token = np.concatenate([np.frombuffer(r[1], np.uint64) for r in held])
+            size = [len(r[2]) // 2 for r in held]
+            idx = np.concatenate([np.frombuffer(r[2], np.uint16) for r in held]).astype(np.int64)
+            pos = np.concatenate([np.frombuffer(r[3], np.uint32 if len(r[3]) == 4 * s else np.uint16).astype(np.int32) for r, s in zip(held, size, strict=True)])
+            nodes = np.concatenate([np.frombuffer(r[4], np.int64) for r in held])
+            ns = np.concatenate([np.frombuffer(r[5], np.uint32) for r in held]).astype(np.int32)
+            last = np.concatenate([np.frombuffer(r[6], np.int64) for r in held])
+            base = np.cumsum([0, *[len(r[4]) // 8 for r in held]])[:-1]
+            idx += np.repeat(base, size)
+            held.clear()
+            order = np.lexsort((nodes[idx], token))
+            same = (token[order][1:] == token[order][:-1]) & (nodes[idx[order]][1:] == nodes[idx[order]][:-1])
+            order = order[np.concatenate([[True], ~same])]  # of a repeated row one entry stays
+            token = token[order]
+            edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            df = np.diff(np.append(edge, len(token)))
+            keep = np.repeat((df > 1) | (not whole), df)
+            own = order[keep]
+            at = idx[own]
+            cols = [token[keep].view(np.int64), nodes[at], ns[at], pos[own], last[at], (np.repeat(df, df)[keep] * whole).astype(np.int32)]
+            for a in range(0, len(own), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["token", "node", "n", "pos", "last", "df"])
+
+        tokens, whole = 0, True
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for r in zip(*cols, strict=True):
+                if held and held[0][0] != r[0] or not whole and at_bucket != r[0]:
+                    yield from flush(whole)
+                    tokens, whole = 0, True
+                elif tokens > most:
+                    whole = False
+                    yield from flush(whole)
+                    tokens = 0
+                at_bucket = r[0]
+                held.append(r)
+                tokens += len(r[1]) // 8
+        yield from flush(whole)
+
+    return run
 
 
 def _short_pairs(pct: int):
@@ -329,8 +352,13 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     total = heads.agg(F.sum(F.expr("length(low) div 8"))).first()[0] or 0
     buckets = max(8, -(-total // TOKENS_A_BUCKET))
     dealt = heads.select("node", "n", "low").mapInArrow(_deal(buckets), DEALT_SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    raw = posting = scratch.keep(dealt.mapInArrow(_postings, POSTING), "postings")
+    raw = posting = scratch.keep(dealt.mapInArrow(_postings(MOST_TOKENS), POSTING), "postings")
     scratch.drop(lows)
+    parts = posting.where("df = 0")
+    if parts.limit(1).count():
+        parts = parts.drop("df").dropDuplicates(["token", "node"])
+        count = scratch.keep(parts.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "hot")
+        posting = posting.where("df > 0").unionByName(parts.join(count, "token"))
 
     by_node = Window.partitionBy("node")
     frequent = F.when(F.col("df") > LONG, 1).otherwise(0)
@@ -356,17 +384,16 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     found, counted = [], []
     heavy = member.where("heavy").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / pct))))
     room = heavy.groupBy("family", "class").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("slots"), F.count(F.lit(1)).alias("c"))
-    heavy = heavy.join(room, ["family", "class"]).withColumn("block", F.xxhash64("family", "class", F.pmod(F.xxhash64("node", F.lit(1)), "slots")))
+    room = scratch.keep(room.withColumn("c", F.sum("c").over(Window.partitionBy("family"))), "room")
+    heavy = heavy.join(room.where("c > 1"), ["family", "class"]).withColumn("block", F.xxhash64("family", "class", F.pmod(F.xxhash64("node", F.lit(1)), "slots")))
     heavy = scratch.keep(heavy, "heavy")
-    crowd = heavy.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("family")
-    if crowd.limit(1).count():
-        dense = heavy.join(crowd, "family", "left_semi")
-        sets = whole(dense.select("node").distinct(), True)
-        about = dense.groupBy("family", "block").agg(F.min("class").alias("class"), F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    if heavy.limit(1).count():
+        sets = whole(heavy.select("node").distinct(), True)
+        about = heavy.groupBy("family", "block").agg(F.min("class").alias("class"), F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         x, y = (about.select("family", *[F.col(c).alias(f"{s}{c}") for c in ("block", "class", "reach", "n0", "n1")]) for s in "xy")
         cell = x.join(y, "family").where("yclass - xclass in (0, 1) and (xclass < yclass or xblock <= yblock)").where(f"100 * xn1 >= {pct} * yn0 and greatest(xreach, yreach) >= {pct} / 100.0D * greatest(xn0, yn0)")
-        about_node = dense.groupBy("node").agg(F.collect_set("family").alias("in")).join(classes.select("node", F.col("n_copies").alias("copies")), "node")
-        blocks = dense.join(about_node, "node").join(sets, "node").groupBy("block", "node").agg(*[F.first(c).alias(c) for c in ("in", "copies", "s")])
+        about_node = heavy.groupBy("node").agg(F.collect_set("family").alias("in")).join(classes.select("node", F.col("n_copies").alias("copies")), "node")
+        blocks = heavy.join(about_node, "node").join(sets, "node").groupBy("block", "node").agg(*[F.first(c).alias(c) for c in ("in", "copies", "s")])
         blocks = blocks.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("node", "in", "copies", "s")])
         blocks = scratch.keep(blocks, "blocks")
         x, y = (blocks.select(F.col("block").alias(f"b{s}"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "in", "copies", "s")]) for s in "xy")
@@ -376,7 +403,7 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         counted.append(cells.where("n is not null").select(F.col("a").alias("node"), "n"))
 
     def sides(df: DataFrame, s: str) -> DataFrame:
-        slots = df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots"))
+        slots = scratch.keep(df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots")), "slots")
         slot = F.pmod(F.xxhash64("node", F.lit(2)), "slots")
         return df.join(slots, "family").groupBy("family", slot.alias(f"{s}_slot")).agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "last")])
 
