@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._session import Scratch, chosen
+from tidemark.llm.words import sliced
 
 BROADCAST_ROWS = 500_000
 _encoders: dict = {}
@@ -121,24 +122,22 @@ def _tokenise(path: str, ranks: str | None, end_id: int, max_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path, ranks), TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                out: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids", "rank")}
-                for row, text in enumerate(some.column(0).to_pylist()):
-                    ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                    first = (len(ids) - 1) % max_len + 1
-                    cuts = [0, *range(first, len(ids) + 1, max_len)]
-                    for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        for c, v in (("row", row), ("piece", piece), ("start", a), ("length", b - a), ("ids", ids[a:b].tobytes()), ("rank", int(seen[b - a]))):
-                            out[c].append(v)
-                        seen[b - a] += 1
-                rows = pa.array(out["row"], pa.int64())
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column(i).take(rows) for i in range(1, some.num_columns)), *(pa.array(out[c], t) for c, t in zip(("piece", "start", "length", "ids", "rank"), kinds, strict=True)), pa.array([part] * len(rows), pa.int32())],
-                    names=[*some.schema.names[1:], "piece", "start", "length", "ids", "rank", "part"],
-                )
+        for some in sliced(batches, 256):
+            out: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids", "rank")}
+            for row, text in enumerate(some.column(0).to_pylist()):
+                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+                first = (len(ids) - 1) % max_len + 1
+                cuts = [0, *range(first, len(ids) + 1, max_len)]
+                for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    for c, v in (("row", row), ("piece", piece), ("start", a), ("length", b - a), ("ids", ids[a:b].tobytes()), ("rank", int(seen[b - a]))):
+                        out[c].append(v)
+                    seen[b - a] += 1
+            rows = pa.array(out["row"], pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(i).take(rows) for i in range(1, some.num_columns)), *(pa.array(out[c], t) for c, t in zip(("piece", "start", "length", "ids", "rank"), kinds, strict=True)), pa.array([part] * len(rows), pa.int32())],
+                names=[*some.schema.names[1:], "piece", "start", "length", "ids", "rank", "part"],
+            )
 
     return run
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm._session import chosen
+from tidemark.llm.words import sliced
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -318,7 +319,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     name = own.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             texts = [extract(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t.split("\n")) if t else 0 for t in texts], pa.int64())], names=[name, "text", "n_lines"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._session import Scratch, chosen
-from tidemark.llm.words import COEF, mix, shingle_sets
+from tidemark.llm.words import COEF, mix, shingle_sets, sliced
 
 LONG = 3  # a list with more nodes is long: its pairs are found through families and blocks
 BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
@@ -57,7 +57,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _sets(pct: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in sliced(batches):
             n, node, low, marks = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
@@ -97,15 +97,13 @@ def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = tokens = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                low = [x for x in part.column(2).to_pylist()]
-                held.append((np.array(part.column(0)), np.array(part.column(1)).astype(np.uint32), low))
-                rows, tokens = rows + len(low), tokens + sum(map(len, low)) // 8
-                if tokens >= DEAL_TOKENS or rows > 60_000:
-                    yield packed(held)
-                    held, rows, tokens = [], 0, 0
+        for part in sliced(batches, 256):
+            low = part.column(2).to_pylist()
+            held.append((np.array(part.column(0)), np.array(part.column(1)).astype(np.uint32), low))
+            rows, tokens = rows + len(low), tokens + sum(map(len, low)) // 8
+            if tokens >= DEAL_TOKENS or rows > 60_000:
+                yield packed(held)
+                held, rows, tokens = [], 0, 0
         if tokens:
             yield packed(held)
 
@@ -293,7 +291,7 @@ def _whole_sets(k: int, pct: int, packed: bool):
     """node and its whole set: packed, or as an array with the low part beside it; there, hashes in signed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in sliced(batches):
             sets = [(node, s) for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True) if node == node_of(s)]
             node = pa.array([x for x, _ in sets], pa.int64())
             if packed:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._session import Scratch, chosen, least_hashed
 from tidemark.llm.subword import folded, grams
+from tidemark.llm.words import sliced
 
 TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})"
@@ -86,7 +87,7 @@ def text_scores(pages: DataFrame, model: TextModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import html
 
-        for batch in batches:
+        for batch in sliced(batches, 256):
             texts = pa.array([html.unescape(TAG.sub(" ", x or "")) for x in batch.column(3).to_pylist()], pa.string())
             z = shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(z), pa.list_(pa.float64()))], names=["page_id", "url", "declared", "z"])

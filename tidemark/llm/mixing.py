@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._session import Scratch, chosen, least_hashed
-from tidemark.llm.words import LOWER, chunks, hashes, spans
+from tidemark.llm.words import LOWER, chunks, hashes, sliced, spans
 
 BITS = 13
 DENSE = 8
@@ -120,7 +120,7 @@ def memberships(docs: DataFrame, model: DomainModel, keep: bool = False) -> Data
     out = StructType([*(own.schema.fields if keep else [own.schema["doc_id"]]), StructField("mix_tokens", LongType()), StructField("mix_p", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             p, words = shared.value.posteriors(batch.column(at))
             cols = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=out.names)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._session import chosen
-from tidemark.llm.words import BYTE, COEF, chunks, hashes, mix, powers, spans
+from tidemark.llm.words import BYTE, COEF, chunks, hashes, mix, powers, sliced, spans
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
 SYMBOLS = np.zeros(256, bool)
@@ -108,7 +108,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     own = chosen(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             m = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[:, i]) for i in range(m.shape[1]))], names=["doc_id", *MEASURES])
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._session import chosen
+from tidemark.llm.words import sliced
 
 # Fixed values of the TIFF 6.0 format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -252,7 +253,7 @@ def pages(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
     own = chosen(media, media_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             rows, out, held = [], [], 0
             for i, value in enumerate(batch.column(0)):
                 data = value.as_py() or b""
@@ -288,12 +289,10 @@ def store_texts(docs: DataFrame, width: int = 64, id_col: str = "doc_id", text_c
     own = chosen(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                padded = [np.frombuffer(t + b"\0" * (-len(t) % width or (0 if t else width)), np.uint8).reshape(-1, width) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_tiff([p]) for p in padded], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for part in sliced(batches, 256):
+            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+            padded = [np.frombuffer(t + b"\0" * (-len(t) % width or (0 if t else width)), np.uint8).reshape(-1, width) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_tiff([p]) for p in padded], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._session import chosen, least_hashed
 from tidemark.llm.subword import Trainer, folded, word_scores
+from tidemark.llm.words import sliced
 
 WINDOW = 1  # words; wider windows blur the few words that decide
 FLOOR = -30.0
@@ -122,7 +123,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     out = StructType([*(own.schema.fields if keep else [own.schema[id_col]]), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             s = pa.array(shared.value.scores(batch.column(at)))
             cols = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*cols, s], names=out.names)

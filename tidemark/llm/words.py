@@ -25,6 +25,13 @@ LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a step holds beside its batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3: a bijection."""
     h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
