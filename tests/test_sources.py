@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.model import MAP_RECORD, RECORD, millis
+from tidemark.plans import jobs
 from tidemark.sources import sinks, tables
 
 
@@ -91,6 +92,19 @@ def test_durations():
         millis("soon")
 
 
+def test_jobs(spark, name, capsys):
+    for job in ("save-records", "save-map-records"):
+        jobs.main([job, "--table", name], spark)
+    assert spark.table(name).count() == 300 and spark.table(name).where("size(attributes) = 2").count() == 300
+    counts = []
+    for job in ("read-query", "read-table", "read-restricted", "read-columns"):
+        jobs.main([job, "--table", name], spark)
+        sample, count = capsys.readouterr().out.strip().split("\n")
+        assert sample.startswith('Sample: {"id":')
+        counts.append(count)
+    assert counts == [f'Count: {{"count":{n}}}' for n in (57, 300, 57, 300)]
+
+
 def test_show(spark, capsys):
     sinks.show(spark.range(1), "Sample: ")
     assert capsys.readouterr().out == 'Sample: {"id":0}\n'

@@ -93,6 +93,25 @@ def test_lookup_cache(run, spark):
     ]
 
 
+def test_latest_version(run, spark):
+    pubs = spark.createDataFrame([(at("12:00"), "p", "v1", 1), (at("12:01"), "p", "v2", 2)], "event_time timestamp, publication_id string, version string, event_id long")
+    rows = run("event_time timestamp, screen_id string, publication_id string", [[(at("11:00"), "s", "p"), (at("11:01"), "t", "q")]], lambda s: S.enrich_by_latest(s, pubs))
+    assert sorted((r.screen_id, r.version) for r in rows) == [("s", "v2"), ("t", None)]
+
+
+def test_sliding_panes(run):
+    schema = "event_time timestamp, screen_id string, ad_id string, clicks int, impressions int"
+    rows = run(schema, [[(at("12:00:01"), "s", "ad", 1, 1), (at("12:00:02"), "s", "ad", 0, 1)], [(at("20:00"), "beat", "ad", 0, 0)], [(at("20:30"), "beat", "ad", 0, 0)]], lambda s: S.sliding_window_panes(s, "20 minutes", "10 minutes"))
+    assert own(rows, "event_time", "pane_timing", "clicks", "impressions") == [(day("12:10", -1), "ON_TIME", 1, 2), (day("12:20", -1), "ON_TIME", 1, 2)]
+
+
+def test_dead_letters_apart(run, spark, tmp_path):
+    good, dead = [], []
+    f = S.split_batches("version", lambda df: good.extend(df.collect()), lambda df: dead.extend(df.collect()))
+    f(spark.createDataFrame([("s", "v"), ("t", None)], "screen_id string, version string"), 0)
+    assert [r.screen_id for r in good] == ["s"] and [tuple(r) for r in dead] == [("t",)]
+
+
 def test_windowed_join(run, spark):
     screens = spark.createDataFrame([(at("12:01"), "s", "p")], "event_time timestamp, screen_id string, publication_id string")
     rows = run(AD, [[ev("I", "12:00")], [ev("C", "12:10")]], lambda s: S.enrich_in_window(s, screens, "10 minutes"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.ctr import capped, to_ctr
+from tidemark.functions.ctr import capped, latest, to_ctr
 from tidemark.model import CLICK, UNKNOWN, millis
 from tidemark.operators.windows import bounds
 from tidemark.streaming.processors import CustomWindows, LateFirings, LookupCache, Repeater
@@ -57,12 +57,18 @@ def repeat(screens: DataFrame, key: str, value: str, interval: str, ttl: str) ->
     return out.select(F.col("key").alias(key), F.col("value").alias(value), "event_time")
 
 
+def enrich_by_latest(screens: DataFrame, publications: DataFrame, tie: str = "event_id") -> DataFrame:
+    """Each screen at once, with the latest version of its publication as the static side stands when the batch starts; version is
+    null in dead letters. Reading the static side anew is up to its source."""
+    newest = latest(publications.select("publication_id", "event_time", "version", tie), ["publication_id"], "event_time", tie)
+    return screens.join(newest.select("publication_id", "version"), "publication_id", "left")
+
+
 def enrich_in_window(events: DataFrame, screens: DataFrame, duration: str) -> DataFrame:
     """Left outer join on screen and fixed window; a row without a match comes once its window is over. Split it by a null
     publication_id in ``foreachBatch``."""
     left = events.where(F.col("action") != UNKNOWN).withWatermark("event_time", "0 seconds").select("screen_id", "ad_id", "action", F.window("event_time", duration))
     right = screens.select("screen_id", "publication_id", F.window("event_time", duration))
-    right = right if screens.isStreaming else F.broadcast(right)
     return left.join(right, ["screen_id", "window"], "left").select("screen_id", "ad_id", "action", "publication_id", *bounds())
 
 
@@ -82,7 +88,7 @@ def custom_window_ctr(events: DataFrame, impression_to_click: str = "10 minutes"
     return out.select("screen_id", "ad_id", "clicks", "impressions", F.timestamp_millis("start_ms").alias("window_start"), F.timestamp_millis("end_ms").alias("event_time"))
 
 
-def split_batches(stream: DataFrame, matched: str, good: Callable[[DataFrame], None], dead: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+def split_batches(matched: str, good: Callable[[DataFrame], None], dead: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that gives matched rows to one writer and dead letters to another, computed once."""
 
     def batch(df: DataFrame, _: int) -> None:
