@@ -34,31 +34,31 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Intermediate tables of one operator call: ``keep`` writes one, ``close`` deletes those that the result doesn't read."""
+    """Intermediate tables of one operator call: ``keep`` writes one, ``drop`` deletes it, ``close`` deletes all but some."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
+        self.spark, self.name = spark, name
+        self.tables: list[tuple[str, DataFrame]] = []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{self.name}-{label}-{uuid.uuid4().hex}"
-        self.paths.append(path)
         _written.append((self.spark, path))
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, out))
+        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete the table that ``keep`` returned as ``df``."""
-        gone = [p for p in self.paths if any(f.startswith(p.removeprefix("file://")) or p in f for f in df.inputFiles()[:1])]
-        for path in gone:
-            delete(self.spark, path)
-            self.paths.remove(path)
+        for path, table in self.tables:
+            if table is df:
+                delete(self.spark, path)
+        self.tables = [(p, t) for p, t in self.tables if t is not df]
 
     def close(self, *but: DataFrame) -> None:
-        held = {f for df in but for f in df.inputFiles()[:1]}
-        for path in list(self.paths):
-            if not any(path.rpartition("/")[2] in f for f in held):
-                delete(self.spark, path)
-                self.paths.remove(path)
+        for _, table in list(self.tables):
+            if not any(table is b for b in but):
+                self.drop(table)
 
 
 @atexit.register
