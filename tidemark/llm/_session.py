@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BROADCAST_IDS = 1_000_000  # of some ten bytes each
 LOCAL_FALLBACK = "file:///tmp/checkpoints/tidemark"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -73,6 +74,11 @@ def chosen(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in cols])
 
 
+def only(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with a list of ids that broadcasts it while it is short and shuffles both sides otherwise."""
+    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def least_hashed(df: DataFrame, by: str, n: int, id_col: str = "doc_id") -> DataFrame:
     """Of each value of ``by``, of which there are few, at most ``n`` rows with the least hash of their id: a bounded sample that any
     order of rows gives. Counts decide how low a hash has to be for about 1.3 n rows, so only those are moved and ranked."""

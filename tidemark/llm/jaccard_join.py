@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import Scratch, chosen
+from tidemark.llm._session import Scratch, chosen, only
 from tidemark.llm.words import COEF, mix, shingle_sets, sliced
 
 LONG = 3  # a list with more nodes is long: its pairs are found through families and blocks
@@ -37,7 +37,6 @@ MARKS = 8
 TOKENS_A_BUCKET = 600_000
 MOST_TOKENS = 2_400_000  # held of one bucket; a token of very many nodes makes larger buckets, which are read in parts
 DEAL_TOKENS = 800_000
-BROADCAST_IDS = 1_000_000  # 8 bytes each; above it the same step is a shuffled join
 
 
 def need(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
@@ -260,8 +259,8 @@ def _cells(pct: int):
             out: list[tuple] = []
             for k in range(batch.num_rows):
                 r = {c: batch.column(c)[k] for c in batch.schema.names}
-                family, same = r["family"].as_py(), r["bx"].as_py() == r["by"].as_py()
-                sides = [([np.frombuffer(v, np.uint64) for v in r[f"{s}_s"].as_py()], np.array(r[f"{s}_node"].as_py()), np.array(r[f"{s}_copies"].as_py()), r[f"{s}_in"].as_py()) for s in "xy"]
+                family, same = r["family"].as_py(), "by" not in r
+                sides = [([np.frombuffer(v, np.uint64) for v in r[f"{s}_s"].as_py()], np.array(r[f"{s}_node"].as_py()), np.array(r[f"{s}_copies"].as_py()), r[f"{s}_in"].as_py()) for s in ("xx" if same else "xy")]
                 (xs, x, x_copies, x_in), (ys, y, y_copies, y_in) = sides
                 other: dict[int, np.ndarray] = {}
                 for j, names in enumerate(y_in):
@@ -288,7 +287,8 @@ def _cells(pct: int):
 
 
 def _whole_sets(k: int, pct: int, packed: bool):
-    """node and its whole set: packed, or as an array with the low part beside it; there, hashes in signed order."""
+    """node and its whole set: packed, or as an array with the upper halves of the low part beside it; there, hashes in signed
+    order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -298,8 +298,8 @@ def _whole_sets(k: int, pct: int, packed: bool):
                 yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["node", "s"])
                 continue
             signed = [(s ^ np.uint64(1 << 63)).view(np.int64) for _, s in sets]
-            lows = [s[: low_count(len(s), pct)] for s in signed]
-            yield pa.RecordBatch.from_arrays([node, *(pa.array(x, pa.list_(pa.int64())) for x in (lows, signed))], names=["node", "low", "s"])
+            lows = [(s[: low_count(len(s), pct)] >> 32).astype(np.int32) for s in signed]
+            yield pa.RecordBatch.from_arrays([node, pa.array(lows, pa.list_(pa.int32())), pa.array(signed, pa.list_(pa.int64()))], names=["node", "low", "s"])
 
     return run
 
@@ -324,11 +324,6 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame | None:
     return scratch.keep(label, "label")
 
 
-def only(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
-    """A semi or anti join that broadcasts ``ids`` while they are few and shuffles both sides otherwise."""
-    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
-
-
 def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set, itself
     included) and n_links (other rows that it links with).
@@ -372,7 +367,7 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         wanted = scratch.keep(nodes.join(classes, "node").select("node", F.col("least_id").alias("doc_id")), "wanted")
         # Another text under the same doc_id has another node and is left out; a repeated row only repeats a link.
         texts = only(docs, wanted, "doc_id").select("node", "text")
-        return scratch.keep(texts.mapInArrow(_whole_sets(k, pct, packed), "node long, s binary" if packed else "node long, low array<long>, s array<long>"), "whole")
+        return scratch.keep(texts.mapInArrow(_whole_sets(k, pct, packed), "node long, s binary" if packed else "node long, low array<int>, s array<long>"), "whole")
 
     # Two sets whose first shared low token is a long one: the one whose low part ends first must be heavy.
     long_ = posting.where(f"df > {LONG}").withColumn("heavy", F.expr(f"n - pos >= ceil({pct} * n / 100.0D)"))
@@ -389,14 +384,17 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         sets = whole(heavy.select("node").distinct(), True)
         about = heavy.groupBy("family", "block").agg(F.min("class").alias("class"), F.max(F.expr("n - pos")).alias("reach"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         x, y = (about.select("family", *[F.col(c).alias(f"{s}{c}") for c in ("block", "class", "reach", "n0", "n1")]) for s in "xy")
-        cell = x.join(y, "family").where("yclass - xclass in (0, 1) and (xclass < yclass or xblock <= yblock)").where(f"100 * xn1 >= {pct} * yn0 and greatest(xreach, yreach) >= {pct} / 100.0D * greatest(xn0, yn0)")
+        cell = x.join(y, "family").where("yclass - xclass in (0, 1) and (xclass < yclass or xblock < yblock)").where(f"100 * xn1 >= {pct} * yn0 and greatest(xreach, yreach) >= {pct} / 100.0D * greatest(xn0, yn0)")
         about_node = heavy.groupBy("node").agg(F.collect_set("family").alias("in")).join(classes.select("node", F.col("n_copies").alias("copies")), "node")
-        blocks = heavy.join(about_node, "node").join(sets, "node").groupBy("block", "node").agg(*[F.first(c).alias(c) for c in ("in", "copies", "s")])
-        blocks = blocks.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("node", "in", "copies", "s")])
+        about_node = about_node.join(sets.dropDuplicates(["node"]), "node")
+        blocks = heavy.select("family", "block", "node").join(about_node, "node").groupBy("family", "block").agg(*[F.collect_list(c).alias(c) for c in ("node", "in", "copies", "s")])
         blocks = scratch.keep(blocks, "blocks")
         x, y = (blocks.select(F.col("block").alias(f"b{s}"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "in", "copies", "s")]) for s in "xy")
-        cell = cell.select("family", F.col("xblock").alias("bx"), F.col("yblock").alias("by")).join(x, "bx").join(y, "by")
-        cells = scratch.keep(cell.mapInArrow(_cells(pct), "a long, b long, n long"), "cells")
+        cross = cell.select("family", F.col("xblock").alias("bx"), F.col("yblock").alias("by")).join(x, "bx").join(y, "by")
+        within = blocks.select("family", F.col("block").alias("bx"), *[F.col(c).alias(f"x_{c}") for c in ("node", "in", "copies", "s")])  # each block's cell with itself: no shuffle
+        run = _cells(pct)
+        cell = within.mapInArrow(run, "a long, b long, n long").union(cross.mapInArrow(run, "a long, b long, n long"))
+        cells = scratch.keep(cell, "cells")
         found.append(cells.where("b is not null").select("a", "b").distinct())
         counted.append(cells.where("n is not null").select(F.col("a").alias("node"), "n"))
 
@@ -411,12 +409,13 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     met = sides(member.where("heavy"), "x").join(sides(light, "y"), "family").drop("family", "x_slot", "y_slot")
     pairs = scratch.keep(pairs.union(met.mapInArrow(_light_pairs(pct), "a long, b long")).distinct(), "pairs")
     sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), False)
-    # First on the low parts: a low token of one set up to the end of the other's low part that isn't there is missing in it.
+    # First on the low parts: a low token of one set before the end of the other's low part that isn't there is missing in it. Upper
+    # halves of hashes do: where two agree by chance, a pair goes on to be compared as a whole.
     a, b = (sets.select(F.col("node").alias(c), F.col("low").alias(f"l{c}"), F.size("s").alias(f"n{c}")) for c in "ab")
     met = pairs.join(a, "a").join(b, "b").withColumn("end", F.least(F.element_at("la", -1), F.element_at("lb", -1)))
     met = met.withColumn("need", F.expr(f"ceil({pct} * (na + nb) / {100 + pct}.0D)"))
     for x, y in ("ab", "ba"):
-        met = met.where(F.size(F.array_except(F.filter(f"l{x}", lambda t: t <= F.col("end")), f"l{y}")) <= F.col(f"n{x}") - F.col("need"))
+        met = met.where(F.size(F.array_except(F.filter(f"l{x}", lambda t: t < F.col("end")), f"l{y}")) <= F.col(f"n{x}") - F.col("need"))
     close = scratch.keep(met.select("a", "b"), "close")
     a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     met = close.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))

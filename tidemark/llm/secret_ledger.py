@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import chosen
+from tidemark.llm._session import chosen, only
 
 SPAN = "struct<start: bigint, ord: int, end: bigint, kind: string>"
 ENTRY = f"array<struct<rule: string, version: int, spans: array<{SPAN}>>>"
@@ -77,12 +77,15 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     Null texts count as empty. A hot blob shrinks to one row in each task before the shuffle.
     """
     texts = chosen(versions, text_col).toDF("text").select(F.coalesce("text", F.lit("")).alias("text"))
-    blobs = texts.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+    named = texts.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
     if ledger is not None:
+        # Texts that every rule has read stay where they are: only names are compared, and few unseen ones are broadcast.
         done = ledger.select("blob", F.explode("entries").alias("e")).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "e.rule", "e.version")).alias("done"))
-        blobs = blobs.join(done, "blob", "left")
+        full = F.size(F.array_intersect("done", F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules]))) == len(rules)
+        unseen = named.select("blob").distinct().join(done.where(full), "blob", "left_anti")
+        blobs = only(named, unseen, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(done, "blob", "left")
     else:
-        blobs = blobs.withColumn("done", F.lit(None).cast("array<string>"))
+        blobs = named.groupBy("blob").agg(F.first("text").alias("text")).withColumn("done", F.lit(None).cast("array<string>"))
     entries = []
     for i, rule in enumerate(rules):
         unseen = ~F.coalesce(F.array_contains("done", f"{rule.kind}:{rule.version}"), F.lit(False))
