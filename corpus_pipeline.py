@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, secret_ledger, toxicity
-from tidemark.llm._session import Scratch
-from tidemark.llm.jaccard_join import jaccard_components, only
+from tidemark.llm._session import Scratch, only
+from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.queries import packed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
