@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Let Python steps that run inside get batches of at most ``rows`` rows; texts are long, and both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(rows, int(old)) if old and int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 class Scratch:
     """Intermediate tables of one operator call: ``keep`` writes one, ``drop`` deletes it, ``close`` deletes all but some."""
 
@@ -44,7 +57,8 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{self.name}-{label}-{uuid.uuid4().hex}"
         _written.append((self.spark, path))
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((path, out))
         return out

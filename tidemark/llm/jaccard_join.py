@@ -34,9 +34,9 @@ LONG = 3  # a list with more nodes is long: its pairs are found through families
 BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
 BLOCK_ENTRIES = 1024
 MARKS = 8
-TOKENS_A_BUCKET = 600_000
-MOST_TOKENS = 2_400_000  # held of one bucket; a token of very many nodes makes larger buckets, which are read in parts
-DEAL_TOKENS = 800_000
+TOKENS_A_BUCKET = 400_000
+MOST_TOKENS = 1_600_000  # held of one bucket; a token of very many nodes makes larger buckets, which are read in parts
+DEAL_TOKENS = 500_000
 
 
 def need(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _postings(most: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["token", "node", "n", "pos", "last", "df"])
 
         tokens, whole = 0, True
-        for batch in batches:
+        for batch in sliced(batches, 64):
             cols = [c.to_pylist() for c in batch.columns]
             for r in zip(*cols, strict=True):
                 if held and held[0][0] != r[0] or not whole and at_bucket != r[0]:

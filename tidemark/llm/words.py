@@ -6,6 +6,8 @@ word's is a polynomial over random byte values, mixed; two different sequences s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,13 @@ _powers: list[np.ndarray] = []
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches: what a step holds beside its batch stays small."""
+    """The same rows in smaller batches: what a step holds beside its batch stays small. Freed memory goes back when they end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
