@@ -33,7 +33,7 @@ from tidemark.llm.words import COEF, mix, shingle_sets, sliced
 LONG = 3  # a list with more nodes is long: its pairs are found through families and blocks
 BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
 BLOCK_ENTRIES = 1024
-MARKS = 8
+MARKS = 16
 TOKENS_A_BUCKET = 400_000
 MOST_TOKENS = 1_600_000  # held of one bucket; a token of very many nodes makes larger buckets, which are read in parts
 DEAL_TOKENS = 500_000
@@ -63,8 +63,7 @@ def _sets(pct: int, k: int):
                 node.append(node_of(s))
                 own = s[: low_count(len(s), pct)]
                 low.append(own.tobytes())
-                spare = len(s) - -(-pct * len(s) // 100)
-                at = spare - (-(np.arange(1, MARKS + 1) * (len(own) - 1 - spare)) // MARKS)
+                at = -(-np.arange(1, MARKS + 1) * (len(own) - 1) // MARKS)
                 marks.append((own[at] ^ np.uint64(1 << 63)).view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "low", "marks"])
 
@@ -205,19 +204,26 @@ def _short_pairs(pct: int):
 
 def _light_pairs(pct: int):
     """Compare a block of heavy entries with a block of light ones. Only a heavy set can reach the overlap, and only if its low
-    part ends first, for then it bounds the tokens that the two share. It has to end before y's mark, too: up to the mark y has
-    more tokens of few nodes than it may lack in x, and x has none of them, or the two would meet in a short list."""
+    part ends first, for then it bounds the tokens that the two share. It has to end early in y, too: y's tokens of few nodes up to
+    there are missing in x, or the two would meet in a short list, and y may lack only so many. y's marks, hashes at MARKS even
+    steps of its low part, tell how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for r in batch.to_pylist():
-                x, y = ({c: np.array(r[s + c]) for c in ("node", "n", "pos", "last")} for s in ("x_", "y_"))
-                nx, ny = x["n"][:, None], y["n"][None, :]
-                ok = (x["last"][:, None] < y["last"][None, :]) & ((x["n"] - x["pos"])[:, None] >= need(nx, ny, pct))
-                i, j = np.nonzero(ok & (100 * np.minimum(nx, ny) >= pct * np.maximum(nx, ny)))
-                a, b = x["node"][i], y["node"][j]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                x = {c: np.array(r["x_" + c]) for c in ("node", "n", "pos", "last")}
+                y = {c: np.array(r["y_" + c]) for c in ("node", "n", "pos", "low_n", "marks")}
+                none = np.full((len(y["n"]), 1), np.iinfo(np.int64).max)
+                marks = np.concatenate([y["marks"].reshape(len(none), MARKS), none], 1)
+                for i in range(len(x["n"])):
+                    least = need(x["n"][i : i + 1], y["n"], pct)
+                    ok = (x["n"][i] - x["pos"][i] >= least) & (100 * np.minimum(x["n"][i], y["n"]) >= pct * np.maximum(x["n"][i], y["n"]))
+                    # the first mark at or behind the token that would be one too many
+                    spare = y["n"] - least + y["low_n"] - y["pos"]
+                    j = np.clip(-(-MARKS * spare // np.maximum(y["low_n"] - 1, 1)), 1, MARKS + 1) - 1
+                    hit = y["node"][ok & (x["last"][i] < marks[np.arange(len(j)), j])]
+                    found.append(np.stack([np.minimum(hit, x["node"][i]), np.maximum(hit, x["node"][i])], 1))
             got = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
@@ -398,15 +404,13 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         found.append(cells.where("b is not null").select("a", "b").distinct())
         counted.append(cells.where("n is not null").select(F.col("a").alias("node"), "n"))
 
-    def sides(df: DataFrame, s: str) -> DataFrame:
+    def sides(df: DataFrame, s: str, cols: tuple[str, ...]) -> DataFrame:
         slots = scratch.keep(df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots")), "slots")
         slot = F.pmod(F.xxhash64("node", F.lit(2)), "slots")
-        return df.join(slots, "family").groupBy("family", slot.alias(f"{s}_slot")).agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "last")])
+        return df.join(slots, "family").groupBy("family", slot.alias(f"{s}_slot")).agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in cols])
 
     light = member.where("not heavy").join(classes.select("node", "marks"), "node")
-    spare = f"(n - ceil({pct} * n / 100.0D))"
-    light = light.withColumn("last", F.expr(f"element_at(marks, cast(ceil({MARKS} * (low_n - pos) / cast(low_n - 1 - {spare} as double)) as int))"))
-    met = sides(member.where("heavy"), "x").join(sides(light, "y"), "family").drop("family", "x_slot", "y_slot")
+    met = sides(member.where("heavy"), "x", ("node", "n", "pos", "last")).join(sides(light, "y", ("node", "n", "pos", "low_n", "marks")), "family").drop("family", "x_slot", "y_slot")
     pairs = scratch.keep(pairs.union(met.mapInArrow(_light_pairs(pct), "a long, b long")).distinct(), "pairs")
     sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), False)
     # First on the low parts: a low token of one set before the end of the other's low part that isn't there is missing in it. Upper
