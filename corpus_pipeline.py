@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, secret_ledger, toxicity
-from tidemark.llm._session import Scratch, only
+from tidemark.llm._session import Scratch, only, tune
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.queries import packed, table
 
@@ -55,6 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens and their places in the sequences."""
+    tune(spark)
     return packed(docs)
 
 

@@ -35,6 +35,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tune(spark: SparkSession, rows: int = 1000) -> None:
+    """What the registered queries ask of their session, unless it says otherwise: batches of at most ``rows`` texts for Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Let Python steps that run inside get batches of at most ``rows`` rows; texts are long, and both sides hold whole batches."""

@@ -8,6 +8,7 @@ each length. On the executors every piece finds its run by its rank among the pi
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
@@ -99,17 +100,22 @@ def encoder(path: str, ranks: str | None):
     """text -> uint32 ids by the tokenizer file ``path``. ``ranks``: the same vocabulary for tiktoken, which gives the same ids
     several times faster; texts that hold a special token's string still go to ``path``."""
     if (path, ranks) not in _encoders:
-        from tokenizers import Tokenizer
+        loaded = []
+
+        def plain(text: str) -> np.ndarray:
+            if not loaded:  # large, and with ranks hardly ever wanted
+                from tokenizers import Tokenizer
+
+                loaded.append(Tokenizer.from_file(path))
+            return np.array(loaded[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
-        slow = Tokenizer.from_file(path)
-        special = [t.content for t in slow.get_added_tokens_decoder().values()]
-        plain = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
         if ranks:
             import base64
 
             import public_tokenizers
             import tiktoken
 
+            special = [t["content"] for t in json.loads(Path(path).read_text())["added_tokens"]]
             merged = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merged, special_tokens={})
             _encoders[path, ranks] = lambda text: plain(text) if any(s in text for s in special) else np.array(fast.encode_ordinary(text), np.uint32)

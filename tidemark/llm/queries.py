@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_layout, language_fusion, license_rules, oracle, quality_ledger, secret_ledger, tiff
-from tidemark.llm._session import Scratch
+from tidemark.llm._session import Scratch, tune
 from tidemark.llm.best_fit import pack_documents
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.mixing import mix
@@ -24,6 +24,7 @@ MAX_LEN = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
