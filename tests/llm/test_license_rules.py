@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from tidemark.llm import license_rules as R
 
@@ -52,3 +53,64 @@ def test_odd_rows(spark):
     rows = {str(r.doc_id): r for r in R.recognise(df).collect()}
     assert rows["None"].licenses == ["MIT"] and rows["None"].places == [100_000] and rows["1"].licenses == []
     assert R.recognise(df.limit(0)).collect() == []
+
+
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS."
+GPL3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+GPL2 = GPL3.replace("software:", "software;").replace("version 3", "version 2")
+AS_IS = "\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+REAL = {
+    "Apache-2.0": (APACHE, ["A1", "A2", "A3"]), "GPL-3.0-or-later": (GPL3, ["G2", "G3"]), "GPL-2.0-or-later": (GPL2, ["G4", "G3"]), "MIT": ("MIT License\n\n" + MIT + AS_IS, ["M2", "M3", "M4"]), "ISC": (ISC, ["I1"]),
+    "BSD-3-Clause": (BSD[0] + "\n\n" + "\n\n".join(f"{n}. {x}" for n, x in enumerate(BSD[1:], 1)), ["B1", "B2", "B3", "B4"]), "BSD-2-Clause": (BSD[0] + "\n\n" + "\n".join(f"* {x}" for x in BSD[1:3]), ["B1", "B2", "B3"]),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.", ["Z1"]),
+}
+LEADERS = (("", ""), ("# ", "#"), (" * ", " *"), ("// ", "//"), ("REM ", "REM"), (";; ", ";;"))
+
+
+def wrapped(text, columns, leader, blank, end="\n"):
+    lines = [line for part in text.split("\n") for line in textwrap.wrap(part, columns, break_long_words=False, break_on_hyphens=False) or [""]]
+    return end.join(leader + x if x else blank for x in lines)
+
+
+def brute_ids(text):
+    """Identifiers in order, by an own walk over words: lines lose their leaders, paragraphs are joined, words are compared one by one."""
+    lines = [re.sub(r"^[\W_]*(REM(?=\W|$))?[\W_]*", "", x) for x in text.replace("\r\n", "\n").split("\n")]
+    for k in range(len(lines) - 1, 0, -1):
+        if lines[k].startswith("http") and not lines[k - 1]:
+            del lines[k - 1]
+    out = []
+    for para in re.split(r"\n\n+", "\n".join(lines)):
+        found = list(re.finditer(r"[^\W_]+", para))
+        word = [m[0].lower() for m in found]
+        gap = [para[a.end() : b.start()] for a, b in zip(found, found[1:])] + ["\n"]
+        stop = ["\n" in g or bool(re.search(r"[!?;]|[.:](\W|$)", g)) for g in gap]
+        full = [bool(re.search(r"[!?]|\.\W", g)) for g in gap]
+        at = 0
+        while at < len(word):
+            fits = [(len(s.split()), i) for i, group in R.SENTENCES.items() for s in group if word[at : at + len(s.split())] == s.split() and stop[at + len(s.split()) - 1] and not any(full[at : at + len(s.split()) - 1])]
+            if fits:
+                out.append(max(fits)[1])
+            at += max(fits)[0] if fits else 1
+    return out
+
+
+def test_wrapped_real_notices(spark):
+    want, rows = {}, []
+    for licence, (text, ids) in REAL.items():
+        for columns in (28, 50, 72, 100_000):
+            for leader, blank in LEADERS:
+                for end in ("\n", "\r\n"):
+                    want[len(rows)] = ([licence], ids)
+                    rows.append((len(rows), wrapped(text, columns, leader, blank, end)))
+    got = {r.doc_id: r for r in R.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert (got[i].licenses, got[i].sentence_ids) == want[i], text
+        assert got[i].sentence_ids == brute_ids(text), text
+
+
+def test_a_wrapped_sentence_between_counts_once(spark):
+    other = wrapped("Some words that no licence knows, in a sentence that is long enough to take quite a few lines of this notice, and then some more words to make it longer still, until it has an end.", 60, " * ", " *")
+    text = "\n".join([BSD[0], *[other] * 3, BSD[1], BSD[2]])
+    rows = R.recognise(spark.createDataFrame([(1, text), (2, "released under the mit license.see there")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.places) for r in rows} == {1: (["BSD-2-Clause"], [0, 4, 5]), 2: (["MIT"], [0])}

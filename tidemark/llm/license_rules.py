@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each normalised to lower-case words. Sentences that are known from licences get their identifiers;
-a licence is an ordered rule of identifiers, found where its identifiers follow each other in a text with at most ``gap`` other
+A text is cut into sentences, each normalised to lower-case words; wrapped lines and comment leaders don't part them. Sentences that
+are known from licences get their identifiers; a licence is an ordered rule of identifiers, found where its identifiers follow each other in a text with at most ``gap`` other
 sentences between two of them.
 """
 
@@ -16,7 +16,7 @@ from tidemark.llm._session import chosen
 SENTENCES: dict[str, tuple[str, ...]] = {
     "A1": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
     "A2": ("you may not use this file except in compliance with the license",),
-    "A3": ("you may obtain a copy of the license at http www apache org licenses license 2 0",),
+    "A3": ("you may obtain a copy of the license at http www apache org licenses license 2 0"),
     "G1": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"),
     "G2": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
     "G3": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
@@ -52,45 +52,66 @@ RULES: dict[str, tuple[tuple[str, ...], ...]] = {
 }
 #: Licences whose rule goes on where another's ends: the longer one stands.
 EXTENDED_BY = {"BSD-2-Clause": ("BSD-3-Clause",)}
-#: Each known sentence holds one of these; a text without any of them isn't cut up.
+#: Each known sentence holds one of these words; a text without any of them isn't cut up.
 SIGNS = ("licensed", "license", "permission", "redistribution", "software", "copyright notice", "contributors")
-BREAK = r"[!?;\n\r]+|(?<![0-9])[.:](?![0-9])|[.:](?=\s|$)"
-
-
-def normalised(sentence: Column) -> Column:
-    """Lower-case words and numbers, parted by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+#: Ends of sentences: a known one may end at any of them. URLs, dotted names and version numbers stay whole.
+BREAK = r"[!?;\n\r]+|[.:](?![A-Za-z0-9/\\_-])|(?<=[a-z])[.:](?=[A-Z])"
+#: What parts words, by rank, a character each: a place within a line or at its wrap; a line's end; a colon or semicolon; a full stop,
+#: a blank line or a list item. Known sentences may run over all but the last, and end at each; all but the first part sentences.
+WRAP, LINE, WEAK, HARD = "\x02", "\n", "\x0b", "\f"
+KNOWN = "\x01"  # goes before the identifier of a known sentence, in its place
+#: (what, by which mark), in order. A line of 40 characters or more is taken to be wrapped.
+MARKS = (
+    (r"\r\n?", LINE),
+    (r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t\n]|\z)", ""),
+    (r"(?i)\n[^\p{L}\p{N}]*(?=https?://)", LINE),
+    (r"\n[^\p{L}\p{N}]*\n", HARD),
+    (r"\n(?=[^\p{L}\p{N}\n]*(?:[0-9]{1,2}|[A-Za-z])[.)]\s)", HARD),
+    (r"(?<=[^\n\f]{40})\n", WRAP),
+    (r"[!?]+|\.(?![A-Za-z0-9/\\_-])|(?<=[a-z])\.(?=[A-Z])", HARD),
+    (r";+|:(?![A-Za-z0-9/\\_-])|(?<=[a-z]):(?=[A-Z])", WEAK),
+    (r"(?<![0-9])[.:](?![0-9])", WRAP),
+)
+#: Neighbouring marks become the highest of them.
+MERGED = (
+    (r"[^\p{L}\p{N}\x02\n\x0b\f]+", " "),
+    (r" ?\x02[ \x02]*+", WRAP),
+    (r"[ \x02]?\n[ \x02\n]*+", LINE),
+    (r"[ \x02\n]?\x0b[ \x02\n\x0b]*+", WEAK),
+    (r"[ \x02\n\x0b]?\f[ \x02\n\x0b\f]*+", HARD),
+    (r"\A[ \x02\n\x0b\f]+|[ \x02\n\x0b\f]+\z", ""),
+)
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, BREAK), normalised), lambda s: s != "")
+    """The sentences of a text in lower-case words; a known one, and what stands before it in its sentence, ends in its identifier."""
+    out = F.regexp_replace(F.translate(text, KNOWN + WRAP + WEAK, "   "), HARD, "\n\n")
+    for what, mark in MARKS:
+        out = F.regexp_replace(out, what, mark)
+    out = F.lower(out)
+    for what, mark in MERGED:
+        out = F.regexp_replace(out, what, mark)
+    for name, group in sorted(SENTENCES.items(), key=lambda x: (-max(map(len, x[1])), x[0])):
+        any_of = "|".join(s.replace(" ", r"[ \x02\n\x0b]") for s in sorted(group, key=lambda s: (-len(s), s)))
+        out = F.regexp_replace(out, rf"(?<![^ \x02\n\x0b\f])(?:{any_of})(?=[\x02\n\x0b\f]|\z)", KNOWN + name)
+    out = F.translate(F.regexp_replace(out, r"(\x01[A-Z][0-9])\x02", "$1\n"), WRAP, " ")
+    return F.filter(F.split(out, r"[\n\x0b\f]"), lambda s: s != "")
 
 
 def recognise(docs: DataFrame, gap: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentence_ids (array), places (their sentence numbers), licenses (sorted array) for every row.
 
-    A sentence is known if it, or its end after other words on the same line, is a known wording; longest wording first. Null and
-    empty texts have none; texts are read whole; null ids and repeated rows are rows like others; extra columns are ignored.
+    A sentence is known if it, or its end after other words, is a known wording, however its lines are wrapped, behind whatever comment
+    leaders; longest wording first. Null and empty texts have none; texts are read whole; null ids and repeated rows are rows like
+    others; extra columns are ignored.
     """
-    known = {s: i for i, group in SENTENCES.items() for s in group}
     own = chosen(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     signs = F.lit(False)
     for s in SIGNS:
         signs = signs | F.contains(F.lower("text"), F.lit(s))
     cut = F.when(signs, sentences(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    numbered = F.transform(cut, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    # Only sentences that hold a sign are looked at more closely.
-    near = F.filter(numbered, lambda x: F.regexp_like(x["s"], F.lit("|".join(SIGNS))))
-    name = F.create_map(*[F.lit(v) for s in sorted(known) for v in (s, known[s])])
-    ends = sorted(known, key=lambda s: (-len(s), s))
-
-    def recognised(s: Column) -> Column:
-        found = F.when(s.isin(list(known)), name[s])
-        for e in ends:
-            found = found.when(F.endswith(s, F.lit(" " + e)), F.lit(known[e]))
-        return found
-
-    ids = F.filter(F.transform(near, lambda x: F.struct(recognised(x["s"]).alias("id"), x["i"].alias("i"))), lambda x: x["id"].isNotNull())
+    numbered = F.transform(cut, lambda s, i: F.struct(F.when(F.contains(s, F.lit(KNOWN)), F.substring_index(s, KNOWN, -1)).alias("id"), i.alias("i")))
+    ids = F.filter(numbered, lambda x: x["id"].isNotNull())
     rows = own.select("doc_id", ids.alias("ids"))
     # The sequence as text: each identifier with its place, and a rule as a chain of identifiers whose places are close.
     seq = F.col("ids")
