@@ -109,6 +109,15 @@ def test_wrapped_real_notices(spark):
         assert got[i].sentence_ids == brute_ids(text), text
 
 
+def test_every_identifier_and_rule_is_reached(spark):
+    odd = {"A3": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"}
+    one = [(i, i, odd.get(i, s)) for i, group in R.SENTENCES.items() for s in group]
+    rules = [(f"{licence} {n}", licence, "\n".join(R.SENTENCES[i][0] for i in rule)) for licence, rs in R.RULES.items() for n, rule in enumerate(rs)]
+    got = {r.doc_id: r for r in R.recognise(spark.createDataFrame([(n, t) for n, _, t in rules], "doc_id string, text string")).collect()}
+    assert all(got[n].licenses == [licence] and len(got[n].sentence_ids) == t.count("\n") + 1 for n, licence, t in rules)
+    assert all(r.sentence_ids == [r.doc_id] for r in R.recognise(spark.createDataFrame([(i, t) for i, _, t in one], "doc_id string, text string")).collect())
+
+
 def test_a_wrapped_sentence_between_counts_once(spark):
     other = wrapped("Some words that no licence knows, in a sentence that is long enough to take quite a few lines of this notice, and then some more words to make it longer still, until it has an end.", 60, " * ", " *")
     text = "\n".join([BSD[0], *[other] * 3, BSD[1], BSD[2]])

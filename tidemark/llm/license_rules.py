@@ -16,7 +16,7 @@ from tidemark.llm._session import chosen
 SENTENCES: dict[str, tuple[str, ...]] = {
     "A1": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
     "A2": ("you may not use this file except in compliance with the license",),
-    "A3": ("you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    "A3": ("you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
     "G1": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"),
     "G2": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
     "G3": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
@@ -53,7 +53,8 @@ RULES: dict[str, tuple[tuple[str, ...], ...]] = {
 #: Licences whose rule goes on where another's ends: the longer one stands.
 EXTENDED_BY = {"BSD-2-Clause": ("BSD-3-Clause",)}
 #: Each known sentence holds one of these words; a text without any of them isn't cut up.
-SIGNS = ("licensed", "license", "permission", "redistribution", "software", "copyright notice", "contributors")
+SIGNS = ("licensed", "license", "permission", "redistribution", "software", "warranty", "contributors")
+assert all(any(w in s for w in SIGNS) for group in SENTENCES.values() for s in group)
 #: Ends of sentences: a known one may end at any of them. URLs, dotted names and version numbers stay whole.
 BREAK = r"[!?;\n\r]+|[.:](?![A-Za-z0-9/\\_-])|(?<=[a-z])[.:](?=[A-Z])"
 #: What parts words, by rank, a character each: a place within a line or at its wrap; a line's end; a colon or semicolon; a full stop,
