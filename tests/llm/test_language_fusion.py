@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from tidemark.llm import language_fusion as L
 
 WORDS = {"en": "the and that with have this from they were which".split(), "de": "der und nicht mit das ist von sich auch eine".split(), "fr": "les des dans pour que est sur avec plus une".split()}
@@ -50,3 +52,20 @@ def test_odd_tables(spark):
     rows = L.identify(df, model()).collect()
     assert len(rows) == 3
     assert L.identify(df.limit(0), model()).collect() == []
+
+
+def test_a_clear_foreign_page_stays_itself_on_a_hot_host(spark):
+    r, two = random.Random(3), ("en", "de")
+    bodies = [page("en", text(r, "en", 60)) for _ in range(100)]
+    rows = [(i, "http://hot.example.com/", bodies[i % 100]) for i in range(10_000)] + [(20_000, "http://hot.example.com/", f"<p>{text(r, 'de', 60)}</p>")]
+    fitted = L.fit_text([text(r, x, 80) for x in two for _ in range(30)], [x for x in two for _ in range(30)], two)
+    got = L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), fitted).where("page_id = 20000").collect()
+    assert [x.lang for x in got] == ["de"]
+    rows[-1] = (20_000, "http://hot.example.com/", "")  # a page without text is still its host's
+    got = L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), fitted).where("page_id = 20000").collect()
+    assert [x.lang for x in got] == ["en"]
+
+
+def test_text_evidence_grows_with_length(spark):
+    few, many = model().scores(pa.array([text(random.Random(1), "de", n) for n in (60, 600)]))
+    assert few[1] - few[0] > 12 and many[1] - many[0] > 5 * (few[1] - few[0])

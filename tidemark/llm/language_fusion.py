@@ -3,7 +3,7 @@
 For each page three sources speak: its text, by a naive Bayes model over character n-grams; the language that its markup declares;
 and where it lives, by priors of its host. Host priors are counts of the languages that declarations and texts point at, added up
 by grouped aggregation and smoothed from the host up to its registered domain, its suffix and all pages, so that a host with few
-pages leans on its neighbours and a large one on itself. Declarations are believed as far as they agree with the texts.
+pages leans on its neighbours and a large one on itself; a text's evidence grows with its length, a prior's is bounded. Declarations are believed as far as they agree with the texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I
 DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})"
 CONTENT_LANGUAGE = r"(?is)<meta\b[^>]*?content-language[\"']?[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})"
 PSEUDO = {"host": 4.0, "domain": 8.0, "suffix": 16.0}  # strength of the level above, in pages
-TEXT_CAP = 12.0  # the most that the text may count for, in nats for one language against another
+PRIOR_ODDS = 6.0  # the most that a host's prior may count for, in nats for one language against another
 
 
 @dataclass
@@ -49,10 +49,8 @@ class TextModel:
                 for c in range(len(self.languages)):
                     total[:, c] += np.bincount(w, self.weight[rows[ok], c], n)
                 count += np.bincount(w, minlength=n)
-            # neighbouring n-grams overlap, so they count as fewer independent ones, and the whole is capped
-            total /= 4.0
-            spread = np.maximum(total.max(1) - total.min(1), 1e-9)
-            out.append(total * np.minimum(1.0, TEXT_CAP / spread)[:, None])
+            # neighbouring n-grams overlap, so they count as fewer independent ones; the evidence grows with the text
+            out.append(total / 4.0)
         return np.concatenate(out)
 
 
@@ -149,6 +147,8 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     met = page.join(by_host.drop("suffix", "domain"), "host")
     s = PSEUDO["host"]
     prior = F.array(*[F.log((F.greatest(F.col(f"s{i}") - F.col("own")[i], F.lit(0.0)) + s * F.col("p_domain")[i]) / (F.col("n") - 1 + s)) for i in range(k)])
+    # However many pages a host has, a clear text outweighs them.
+    prior = F.transform(prior, lambda x: F.greatest(x, F.array_max(prior) - PRIOR_ODDS))
     final = met.withColumn("z", F.zip_with("z", prior, lambda a, b: a + b)).withColumn("p", _softmax(F.col("z")))
     best = F.array_position("p", F.array_max("p")).cast("int")
     return final.select("page_id", F.element_at(F.array(*[F.lit(x) for x in names]), best).alias("lang"), F.round(F.array_max("p"), 6).alias("p"), F.round(F.element_at("p_text", best), 6).alias("p_text"), "declared", "host")
