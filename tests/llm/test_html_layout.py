@@ -24,6 +24,22 @@ def test_rendering(source, text):
     assert H.extract(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold", "Let x=1 hold"), ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1/2"),
+    ("<math><semantics><mi>y</mi><annotation encoding=tex>no</annotation></semantics><mphantom>no</mphantom></math>z", "yz"),
+    ("<math><mtable><mtr><mtd>a</mtd><mtd>b</mtd></mtr><mtr><mtd>c</mtd></mtr></mtable></math>", "a b c"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no</style><g><text x=1>one</text><text>t<tspan>wo</tspan></text></g><path d='M0'/></svg>b", "a one two b"),
+    ("in <select><option>a<option selected>b &amp; c<option>d</select> now", "in b & c now"), ("<select><option disabled>no<optgroup label=no><option>a<option>b</select>", "a"),
+    ("<select><option label=shown>no</select>", "shown"), ("<select><option selected disabled>a<option>b</select>", "a"), ("x<select></select>y", "xy"), ("<select hidden><option>no</select>y", "y"),
+    ("<select multiple><optgroup label=G><option>a<option>b</optgroup></select>", "G\na\nb"), ("<select size=2><option>a<option hidden>no<option>b</select>", "a\nb"),
+    ("<input type=submit value='Send it'> <input type=BUTTON value=Go><input type=image alt=pic> <input type=hidden value=no><input type=checkbox value=no>", "Send it Gopic"),
+    ("<table><tr><td><select><option>a<option>b</select><td><math><mi>x</mi></math></table>", "a | x"), ("<table><select><option>a<option>b</select><tr><td>c</table>", "a\nc"),
+    ("<pre>p <select><option>a<option>b</select></pre>", "p a"),
+])
+def test_what_browsers_draw(source, text):
+    assert H.extract(source) == text
+
+
 def test_wide_characters_align():
     lines = H.extract("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>").split("\n")
     assert lines == ["日本 | x", "abcd | y"]

@@ -21,7 +21,13 @@ from tidemark.llm.words import sliced
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object canvas svg math select audio video".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object canvas audio video".split())
+UNDRAWN = {  # what isn't drawn within these
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+APART = frozenset("text mtd mtr mlabeledtr mtext".split())  # drawn apart from what stands before and after
+LABELLED = frozenset("button submit reset image".split())  # inputs whose label is part of the page
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split()
 )
@@ -145,7 +151,51 @@ def parse(source: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    return not (node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input") or UNSEEN.search(a.get("style", "")) or (node.tag == "dialog" and "open" not in a))
+    return not (node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").strip().lower() not in LABELLED) or UNSEEN.search(a.get("style", "")) or (node.tag == "dialog" and "open" not in a))
+
+
+def drawn(node: Node) -> list[Node | str]:
+    """What a browser shows of the children of ``node``: of a drop-down list its chosen option, of a longer list all options, of a
+    button its label; of drawings and formulas no definitions, descriptions or annotations."""
+    if node.tag == "input":
+        return [node.attrs.get("alt" if node.attrs["type"].strip().lower() == "image" else "value", "")]
+    if node.tag == "select":
+        return choices(node)
+    if node.tag in UNDRAWN:
+        return without(node, UNDRAWN[node.tag])
+    if node.tag == "mfrac":
+        parts = [c for c in node.children if isinstance(c, Node)]
+        return [parts[0], "/", *parts[1:]] if parts else node.children
+    return node.children
+
+
+def without(node: Node, tags: frozenset[str]) -> list[Node | str]:
+    return [c if isinstance(c, str) or c.tag in UNDRAWN else Node(c.tag, c.attrs, without(c, tags)) for c in node.children if isinstance(c, str) or c.tag not in tags]
+
+
+def choices(node: Node) -> list[Node | str]:
+    options: list[tuple[Node, bool]] = []
+
+    def collect(n: Node, off: bool) -> None:
+        for c in n.children:
+            if isinstance(c, Node):
+                if c.tag == "option":
+                    options.append((c, off or "disabled" in c.attrs))
+                else:
+                    if c.tag == "optgroup" and c.attrs.get("label") and visible(c):
+                        options.append((c, True))
+                    collect(c, off or c.tag == "optgroup" and "disabled" in c.attrs)
+
+    def label(n: Node) -> str:
+        return n.attrs.get("label") or ("" if n.tag == "optgroup" else plain(n))
+
+    collect(node, False)
+    size = node.attrs.get("size", "").strip()
+    if "multiple" in node.attrs or size.isdigit() and int(size) > 1:
+        return [Node("div", {}, [label(o)]) for o, _ in options if visible(o)]
+    real = [(o, off) for o, off in options if o.tag == "option"]
+    shown = [o for o, _ in real if "selected" in o.attrs][-1:] or [o for o, off in real if not off][:1]
+    return [label(o) for o in shown]
 
 
 def width(text: str) -> int:
@@ -198,7 +248,7 @@ class Page:
 
 def render(node: Node, page: Page, depth: int = 0) -> None:
     number = 0
-    for child in node.children:
+    for child in drawn(node):
         if isinstance(child, str):
             page.write(child)
             continue
@@ -244,12 +294,16 @@ def render(node: Node, page: Page, depth: int = 0) -> None:
             page.block(tag in SPACED and not nested)
             render(child, page, depth + 1)
             page.block(tag in SPACED and not nested)
+        elif tag in APART:
+            page.write(" ")
+            render(child, page, depth + 1)
+            page.write(" ")
         else:
             render(child, page, depth + 1)
 
 
 def plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else plain(c) if visible(c) else "" for c in node.children)
+    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else plain(c) if visible(c) else "" for c in drawn(node))
 
 
 def table(node: Node, page: Page, depth: int) -> None:
@@ -279,6 +333,8 @@ def table(node: Node, page: Page, depth: int) -> None:
                             cells.append(inner.lines or [""])
                             cells += [[""]] * (min(int(span), 100) - 1 if span.isdigit() and int(span) > 1 else 0)
                     rows.append(cells)
+                elif child.tag in ("select", "input", "svg", "math"):
+                    render(Node("td", {}, [child]), page, depth + 1)
                 else:
                     collect(child)
 
