@@ -43,6 +43,19 @@ def test_pages_of_files(spark):
     assert all(by[k][-1].error and by[k][-1].pixels is None for k in (2, 3, 4, 5))
 
 
+def test_a_page_that_cannot_be_decoded_hides_no_other(spark):
+    p = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    data = bytearray(T.write_tiff([p, p[:4], p[:2]], T.DEFLATE))
+    at = int.from_bytes(data[4:8], "little")
+    at = int.from_bytes(data[at + 2 + 12 * int.from_bytes(data[at : at + 2], "little") :][:4], "little")  # the second directory
+    tag = next(at + 2 + 12 * i for i in range(20) if int.from_bytes(data[at + 2 + 12 * i :][:2], "little") == T.COMPRESSION)
+    odd = data[: tag + 8] + (7).to_bytes(2, "little") + data[tag + 10 :]  # JPEG
+    zero = data[:at] + b"\xff\xff" + data[at + 2 :]  # a directory that says more than the file holds
+    got = T.pages(spark.createDataFrame([(1, bytes(odd)), (2, bytes(zero))], "doc_id long, media binary")).collect()
+    by = {i: sorted((r.page, r.height, r.error is None) for r in got if r.doc_id == i) for i in (1, 2)}
+    assert by == {1: [(0, 8, True), (1, None, False), (2, 2, True)], 2: [(0, 8, True), (1, None, False)]}
+
+
 def test_text_digest(spark):
     texts = [(1, None, 0), (2, "", 0), (3, "é" * 32, 0), (4, "x" * 65, 0), (5, "long " * 200_000, 0), (6, "x" * 65, 1), (None, "y", 2)]
     got = {r.doc_id: r for r in T.media_digest(spark.createDataFrame(texts, "doc_id long, text string, page int")).collect()}

@@ -242,13 +242,15 @@ def feature(samples: np.ndarray) -> str:
     return ":".join([f"{mean:.3f}", f"{spread:.3f}", *(str(int(1000 * v // n)) for v in count.reshape(16, 16).sum(1))])
 
 
+BROKEN = (TiffError, struct.error, zlib.error, KeyError, IndexError, ValueError, TypeError, ZeroDivisionError, OverflowError, MemoryError)
 PAGE = "page int, width int, height int, samples int, pixels binary, feature string, error string"
 
 
 def pages(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each page of each file, with the ``keep`` columns: page (from 0), size, pixels, feature.
 
-    A null or broken file, or a page that can't be decoded, gives one row with ``error`` and null pixels; the pages before it stay.
+    A null or broken file, or a page that can't be decoded, gives one row with ``error`` and null pixels; all other pages stay. Only a
+    broken directory ends the walk, since the place of the next one isn't known.
     """
     own = chosen(media, media_col, *keep)
 
@@ -257,16 +259,20 @@ def pages(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
             rows, out, held = [], [], 0
             for i, value in enumerate(batch.column(0)):
                 data = value.as_py() or b""
-                k = -1
-                try:
-                    for k, tags in enumerate(directories(data)):
-                        p = decode(data, tags)
-                        out.append((k, p.shape[1], p.shape[0], p.shape[2], p.tobytes(), feature(p), None))
+                walk, k, tags = directories(data), -1, {}
+                while tags is not None:
+                    k, tags, row = k + 1, None, None
+                    try:
+                        tags = next(walk, None)
+                        if tags is not None:
+                            p = decode(data, tags)
+                            row = (k, p.shape[1], p.shape[0], p.shape[2], p.tobytes(), feature(p), None)
+                            held += p.size
+                    except BROKEN as e:
+                        row = (k, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
+                    if row:
+                        out.append(row)
                         rows.append(i)
-                        held += p.size
-                except (TiffError, struct.error, zlib.error, KeyError, IndexError, ValueError, MemoryError) as e:
-                    out.append((k + 1 if k < 0 else k, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-                    rows.append(i)
                 if held > 1 << 24:
                     yield batch_of(batch, rows, out)
                     rows, out, held = [], [], 0
