@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, secret_ledger, toxicity
 from tidemark.llm._session import Scratch, only, tune
-from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.jaccard_join import jaccard_components, named
 from tidemark.llm.queries import packed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,10 +29,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least id; of rows that repeat its id, all that differ."""
-    found = jaccard_components(docs, pct=80, k=5)
-    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
-    return only(docs.select(*COLUMNS), dropped, "doc_id", "left_anti")
+    """Of each component of similar documents the rows with the least id; of rows that repeat an id, all that differ and aren't dropped
+    for their own text. Of equal rows one stays, but for rows without words or id, which are like nothing."""
+    found = jaccard_components(docs, pct=80, k=5, node=True)
+    dropped = found.where("doc_id != component_id").select("doc_id", "node").distinct()
+    own = docs.select(*COLUMNS)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return only(own, dropped.select("doc_id"), "doc_id", "left_anti")
+    once = only(only(own, again, "doc_id", "left_anti"), dropped.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = only(named(only(own, again, "doc_id", "left_semi")), dropped, ["doc_id", "node"], "left_anti")
+    return once.unionByName(rows.where("n > 0").select(*COLUMNS).dropDuplicates()).unionByName(rows.where("n = 0").select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,16 @@ def test_run(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
 
 
+def test_repeated_ids_are_dropped_by_their_own_text(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (4, three), (5, ""), (5, ""), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, one), (2, two), (3, three), (5, ""), (5, ""), (None, one), (None, one)]
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in want)
+
+
 def test_odd_documents(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (None, "token=abcdefgh and words", "en", "s", 24), (3, "token=abcdefgh and words", "en", "s", 24), (4, "w " * 50_000, "en", None, 100_000)]

@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm._session import Scratch, chosen, only
 from tidemark.llm.words import COEF, mix, shingle_sets, sliced
@@ -330,9 +331,23 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame | None:
     return scratch.keep(label, "label")
 
 
-def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def named(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
+    """``docs`` with the size (n) and the name (node) of each text's set."""
+    at = docs.columns.index(text_col)
+    out = StructType([*docs.schema.fields, StructField("n", LongType()), StructField("node", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 256):
+            sets = shingle_sets(batch.column(at), k)
+            n, node = zip(*((len(s), node_of(s)) for s in sets), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=out.names)
+
+    return docs.mapInArrow(run, out)
+
+
+def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text", node: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_copies (rows with an equal set, itself
-    included) and n_links (other rows that it links with).
+    included) and n_links (other rows that it links with); with ``node``, also the name of its set.
 
     Null or empty texts and texts without words have an empty set and link with nothing. Every row counts by its own text, also
     where a doc_id or a whole row repeats; a component's id is the least doc_id in it. A null doc_id has no links and a null
@@ -447,6 +462,7 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     out = out.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(has, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"), F.when(has, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        *(["node"] if node else []),
     )
     out = scratch.keep(out, "result")
     scratch.close(out)
