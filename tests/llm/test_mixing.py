@@ -62,3 +62,13 @@ def test_odd_rows(spark):
     rows = M.mix(docs, labels, DOMAIN, NAMES, WEIGHTS)[0].collect()
     assert len(rows) == 4 and all(r.mix_rate >= 0 and r.mix_copies >= 0 for r in rows) and max(r.mix_tokens for r in rows) == 100_000
     assert M.mix(docs.limit(0), labels, DOMAIN, NAMES, WEIGHTS)[0].collect() == []
+
+
+def test_missed_targets_are_told(spark, caplog):
+    members = spark.createDataFrame([(10, [1.0, 0.0])] * 5, "mix_tokens long, mix_p array<double>")
+    _, report = M.fit_rates(members, [0.5, 0.5])  # nothing is of the second domain
+    assert not report["met"] and "missed" in caplog.text
+    caplog.clear()
+    both = members.unionByName(spark.createDataFrame([(10, [0.0, 1.0])] * 15, members.schema))
+    _, report = M.fit_rates(both, [0.5, 0.5])
+    assert report["met"] and not caplog.text and np.allclose(report["reached"], report["target"], rtol=1e-3)
