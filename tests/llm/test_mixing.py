@@ -67,8 +67,43 @@ def test_odd_rows(spark):
 def test_missed_targets_are_told(spark, caplog):
     members = spark.createDataFrame([(10, [1.0, 0.0])] * 5, "mix_tokens long, mix_p array<double>")
     _, report = M.fit_rates(members, [0.5, 0.5])  # nothing is of the second domain
+    assert not report["met"] and "every rate stays 1" in caplog.text
+    caplog.clear()
+    far = members.unionByName(spark.createDataFrame([(10, [0.0, 1.0])] * 15, members.schema))
+    _, report = M.fit_rates(far, [0.5, 0.5], steps=0)
     assert not report["met"] and "missed" in caplog.text
     caplog.clear()
     both = members.unionByName(spark.createDataFrame([(10, [0.0, 1.0])] * 15, members.schema))
     _, report = M.fit_rates(both, [0.5, 0.5])
     assert report["met"] and not caplog.text and np.allclose(report["reached"], report["target"], rtol=1e-3)
+
+
+def test_without_labels_or_with_one_kind_every_rate_is_one(spark):
+    docs, _ = corpus(spark, 200)
+    some = [[], [(i, 1) for i in range(50)]]
+    for rows in some:
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        for floor in (0.0, 1.0):
+            rated, report = M.mix(docs, labels, "if(quality = 1, 'good', 'plain')", ("plain", "good"), [0.1, 0.9], floor=floor, keep=True)
+            got = rated.collect()
+            assert len(got) == 200 and {r.mix_rate for r in got} == {1.0} and {r.mix_copies for r in got} == {1} and not report["met"]
+
+
+def test_rates_stay_within_their_bounds(spark):
+    members = spark.createDataFrame([(10, [1.0, 0.0])] * 95 + [(10, [0.0, 1.0])] * 5, "mix_tokens long, mix_p array<double>")
+    slope, report = M.fit_rates(members, [0.5, 0.5], floor=1.0, ceiling=4.0)
+    rates = {r[0] for r in members.select(M._rate(slope, 1.0, 4.0)[0]).collect()}
+    assert max(rates) == 4.0 and min(rates) >= 1.0 and not report["met"]
+
+
+def test_a_domain_without_documents_leaves_the_targets(spark):
+    members = spark.createDataFrame([(10, [1.0, 0.0, 0.0])] * 5 + [(10, [0.0, 1.0, 0.0])] * 15, "mix_tokens long, mix_p array<double>")
+    _, report = M.fit_rates(members, [0.4, 0.4, 0.2])
+    assert report["met"] and np.allclose(report["reached"], [100, 100, 0], rtol=1e-3)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "word " * (i + 3), "en", 7, 8) for i in range(20)], "doc_id long, text string, lang string, mix_tokens int, quality int")
+    labels = spark.createDataFrame([(i, i % 2, "xx", "no", 1) for i in range(20)], "doc_id long, quality int, lang string, text string, y int")
+    rated, _ = M.mix(docs, labels, DOMAIN, NAMES, WEIGHTS, keep=True)
+    assert sorted((r.doc_id, r.mix_tokens, r.quality) for r in rated.collect()) == [(i, i + 3, 8) for i in range(20)]

@@ -8,25 +8,29 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_IDS = 1_000_000  # of some ten bytes each
-LOCAL_FALLBACK = "file:///tmp/checkpoints/tidemark"
+from tidemark.llm.words import give_back
+
+BROADCAST_BYTES = 8 << 20  # of a list of ids, by its own count
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a local session, where all is one machine, may leave the setting out."""
+    """A folder of this application in the cluster's shared one. Only a local session, where all is one machine, may leave the setting
+    out; its tables then lie beside the warehouse's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_FALLBACK
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -61,9 +65,14 @@ class Scratch:
         self.spark, self.name = spark, name
         self.tables: list[tuple[str, DataFrame]] = []
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def folder(self, label: str) -> str:
+        """A new folder's path; the folder is deleted at exit at the latest."""
         path = f"{shared_dir(self.spark)}/{self.name}-{label}-{uuid.uuid4().hex}"
         _written.append((self.spark, path))
+        return path
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = self.folder(label)
         with small_batches(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -83,6 +92,18 @@ class Scratch:
                 self.drop(table)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession, *but: Scratch) -> Iterator[None]:
+    """Delete, at the end, all tables that were written inside, but for those that ``but`` still hold."""
+    first = len(_written)
+    yield
+    held = {path for scratch in but for path, _ in scratch.tables}
+    for _, path in _written[first:]:
+        if path not in held:
+            delete(spark, path)
+    _written[first:] = [x for x in _written[first:] if x[1] in held]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
@@ -95,17 +116,81 @@ def chosen(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in cols])
 
 
+def is_small(ids: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast: its values, each with 16 bytes beside it, take at most ``most`` bytes, by count."""
+    varying = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in ids.dtypes if kind in ("string", "binary")]
+    size = F.lit(24 * len(ids.columns))
+    for v in varying:
+        size = size + v
+    return (ids.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
 def only(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
-    """A join with a list of ids that broadcasts it while it is short and shuffles both sides otherwise."""
-    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    """A join with a list of ids that broadcasts it while it is small and shuffles both sides otherwise."""
+    return big.join(F.broadcast(ids) if is_small(ids) else ids, key, how)
+
+
+def join_uneven(big: DataFrame, groups: DataFrame, key: str, count: str = "n_rows", how: str = "inner", least: int = 1000, share: int = 100_000) -> DataFrame:
+    """``big`` (a written table) joined with ``groups`` (one row for each key, ``count``: its rows in ``big``) by inner or left join.
+
+    Heavy keys, of more than ``least`` rows and of more than a ``share``-th of all, go by broadcast, so none of them lands in one task;
+    there are at most ``share`` of them, whatever the table. All other keys are shuffled. Rows with a null key come only from a left
+    join, which should be given none.
+    """
+    total, top = groups.agg(F.sum(count), F.max(count)).first()
+    most = max(least, (total or 0) // share)
+    if (top or 0) <= most:
+        return big.join(groups, key, how)
+    heavy = groups.where(F.col(count) > most)
+    rest = big.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return big.join(F.broadcast(heavy), key).unionByName(rest.join(groups.where(F.col(count) <= most), key, how))
+
+
+def _place(id_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_col), 1) / float(1 << 63)
 
 
-def least_hashed(df: DataFrame, by: str, n: int, id_col: str = "doc_id") -> DataFrame:
-    """Of each value of ``by``, of which there are few, at most ``n`` rows with the least hash of their id: a bounded sample that any
-    order of rows gives. Counts decide how low a hash has to be for about 1.3 n rows, so only those are moved and ranked."""
-    h = F.shiftrightunsigned(F.xxhash64(id_col), 1) / float(1 << 63)
+def _low(counts: dict, by: str, n: float, id_col: str) -> Column:
     low = F.lit(0.0)
-    for r in df.groupBy(by).count().collect():
-        low = F.when(F.col(by) == F.lit(r[0]), F.lit(1.3 * n / r["count"] + 1e-9)).otherwise(low)
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.shiftrightunsigned(F.xxhash64(id_col), 1), id_col))
-    return df.where(h < low).withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    for value, count in counts.items():
+        low = F.when(F.col(by) == F.lit(value), F.lit(n / count + 1e-9)).otherwise(low)
+    return _place(id_col) < low
+
+
+def labelled_sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, n: int, max_bytes: int) -> tuple[DataFrame, dict]:
+    """A written table (doc_id, text, y) of up to ``n`` texts of at most ``max_bytes`` for each y of ``labels`` (doc_id, y; an id once),
+    those with the least hash of their id, and the number of labels of each y.
+
+    Ids are tried from the least hash on, eight times as many in each round, until every y has its ``n`` texts or no labels are
+    left; so labels of long or missing texts never use the sample up, and one round is the rule.
+    """
+    counts = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
+    times = 1.3
+    while True:
+        few = labels.where(_low(counts, "y", times * n, "doc_id"))
+        own = chosen(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+        met = only(own, few, "doc_id").select("doc_id", "text", "y").distinct()
+        place = F.row_number().over(Window.partitionBy("y").orderBy(_place("doc_id"), "doc_id", "text"))
+        got = scratch.keep(met.withColumn("_place", place).where(F.col("_place") <= n).drop("_place"), "sample")
+        have = {r["y"]: r["count"] for r in got.groupBy("y").count().collect()}
+        if all(have.get(y, 0) >= n or times * n >= count for y, count in counts.items()):
+            return got, counts
+        scratch.drop(got)
+        times *= 8
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """``fit`` of all rows of a bounded, written ``sample``, in sorted order. One executor task reads them and fits, so the driver never
+    holds the sample or the fit's working memory; a task that is lost is run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        out = pickle.dumps(fit(sorted(rows)))
+        rows.clear()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["model"])
+
+    got = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return fit([]) if got is None else pickle.loads(got["model"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import Scratch, chosen, least_hashed
+from tidemark.llm._session import Scratch, chosen, fitted, labelled_sample
 from tidemark.llm.subword import folded, grams
 from tidemark.llm.words import sliced
 
@@ -67,13 +67,17 @@ def fit_text(texts: list[str], labels: list[str], languages: tuple[str, ...], bi
     return TextModel(languages, (log - log.mean(1, keepdims=True)).astype(np.float32))
 
 
-def sample(docs: DataFrame, languages: tuple[str, ...], a_language: int = 300, max_bytes: int = 8000) -> tuple[list[str], list[str]]:
-    """The bounded sample that the text model learns from: of each language, the ``a_language`` documents of at most ``max_bytes``
-    with the least hash of their id."""
-    own = chosen(docs, "doc_id", "text", "lang").where(F.octet_length("text").between(200, max_bytes) & F.col("lang").isin(*languages))
-    few = least_hashed(own.select("doc_id", "lang"), "lang", a_language)
-    got = own.join(F.broadcast(few.select("doc_id").distinct()), "doc_id").select("text", "lang").collect()
-    return [r.text for r in got], [r.lang for r in got]
+def learn(docs: DataFrame, languages: tuple[str, ...], a_language: int = 300, least_bytes: int = 200, max_bytes: int = 8000) -> TextModel:
+    """The text model of a bounded sample: of each language, up to ``a_language`` documents of ``least_bytes`` to ``max_bytes``, those with
+    the least hash of their id. It is fitted in one task, not in the driver."""
+    at = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int")
+    own = chosen(docs, "doc_id", "text", "lang").where(F.octet_length("text").between(least_bytes, max_bytes) & F.col("doc_id").isNotNull())
+    own = own.select("doc_id", at.alias("y")).where("y > 0")
+    scratch = Scratch(docs.sparkSession, "language")
+    few, _ = labelled_sample(scratch, docs, own, a_language, max_bytes)
+    model = fitted(few, lambda rows: fit_text([t for _, t, _ in rows], [languages[y - 1] for _, _, y in rows], languages))
+    scratch.close()
+    return model
 
 
 def text_scores(pages: DataFrame, model: TextModel) -> DataFrame:

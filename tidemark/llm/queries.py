@@ -59,8 +59,7 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, langs = language_fusion.sample(table(spark, sf_dir, "documents"), LANGUAGES)
-    return language_fusion.identify(table(spark, sf_dir, "pages"), language_fusion.fit_text(texts, langs, LANGUAGES))
+    return language_fusion.identify(table(spark, sf_dir, "pages"), language_fusion.learn(table(spark, sf_dir, "documents"), LANGUAGES))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidemark.llm.words import BASE, BYTE, chunks
+from tidemark.llm.words import BASE, BYTE, chunks, hashes
 
 BITS = 18
 SIZES = (3, 4, 5, 6)
@@ -94,30 +94,57 @@ def bags(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.bincount(word, minlength=len(start))
 
 
+def text_counts(ids: np.ndarray, size: np.ndarray, word: np.ndarray, rows: np.ndarray, run: int = 50_000) -> np.ndarray:
+    """In how many texts each n-gram occurs. ``ids``: of the distinct words, ``size`` of each; ``word`` and ``rows``: of every word, its
+    place among them and its text, texts in order. Runs of whole texts keep what is expanded small."""
+    edge, count = np.concatenate([[0], np.cumsum(size)]), np.zeros(1 << BITS, np.int64)
+    at = 0
+    while at < len(rows):
+        to = int(np.searchsorted(rows, rows[min(at + run, len(rows)) - 1], side="right"))
+        pair = np.unique((rows[at:to] - rows[at]) * len(size) + word[at:to])
+        r, w = pair // len(size), pair % len(size)
+        n = size[w]
+        where = np.repeat(edge[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.unique(np.repeat(r, n) * (1 << BITS) + ids[where])
+        count += np.bincount(cell & ((1 << BITS) - 1), minlength=1 << BITS)
+        at = to
+    return count
+
+
+def unique_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct folded words of all texts, as (bytes with a space around each, start of each), and of every word its place among
+    them and its text. Words are told apart by 64-bit hashes, which are the same in every process."""
+    parts, keys, owners, base = [], [], [], 0
+    known: dict[int, int] = {}
+    for data, start, row, n in folded(pa.array(texts, pa.string())):
+        ends = np.flatnonzero(data == 32)
+        end = ends[np.searchsorted(ends, start)] if len(start) else start
+        h = hashes(data, start, end)
+        own, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        for key, k in zip(own.tolist(), first.tolist(), strict=True):
+            if key not in known:
+                known[key] = len(known)
+                parts.append(data[start[k] : end[k] + 1])
+        keys.append(np.array([known[key] for key in own.tolist()], np.int64)[inverse])
+        owners.append(row + base)
+        base += n
+    data = np.concatenate([FOLD[:1], *parts])
+    start = np.cumsum([1, *map(len, parts)])[:-1]
+    return data, start, np.concatenate(keys) if keys else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
+
+
 class Trainer:
-    """Full-batch Adam on the cross-entropy of windows. Equal words share their gradient work; n-grams of fewer than ``least_texts``
-    texts aren't learnt, so nothing is remembered of single texts."""
+    """Full-batch Adam on the cross-entropy of windows. Equal words share their n-grams and gradient work; n-grams of fewer than
+    ``least_texts`` texts aren't learnt, so nothing is remembered of single texts."""
 
     def __init__(self, texts: list[str], width: int, classes: int, dim: int = 3, seed: int = 11, least_texts: int = 4):
-        ids, sizes, names, rows, base = [], [], [], [], 0
-        for data, start, row, n in folded(pa.array(texts, pa.string())):
-            i, s = bags(data, start)
-            ids.append(i)
-            sizes.append(s)
-            rows.append(row + base)
-            base += n
-        i, s = np.concatenate(ids), np.concatenate(sizes)
-        rows = np.concatenate(rows)
-        edge = np.concatenate([[0], np.cumsum(s)])
-        names = np.array([hash(i[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)])
-        _, first, self.word = np.unique(names, return_index=True, return_inverse=True)
-        self.size = s[first].astype(np.float32)
-        self.ids = np.concatenate([i[edge[k] : edge[k + 1]] for k in first])
-        self.owner = np.repeat(np.arange(len(first)), s[first])
-        pairs = np.unique(np.repeat(rows, s) * (1 << BITS) + i)
-        common = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= least_texts
-        self.ids, self.owner = self.ids[common[self.ids]], self.owner[common[self.ids]]
-        begin = np.searchsorted(rows, np.arange(base))
+        data, start, self.word, rows = unique_words(texts)
+        ids, size = bags(data, start)
+        self.size = size.astype(np.float32)
+        owner = np.repeat(np.arange(len(size)), size)
+        common = text_counts(ids, size, self.word, rows) >= least_texts
+        self.ids, self.owner = ids[common[ids]], owner[common[ids]]
+        begin = np.searchsorted(rows, np.arange(len(texts)))
         place = np.arange(len(rows)) - begin[rows]
         cut = np.concatenate([[True], (rows[1:] != rows[:-1]) | (place[1:] % width == 0)]) if len(rows) else np.zeros(0, bool)
         self.window = np.cumsum(cut) - 1
