@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm._session import Scratch, chosen, only
+from tidemark.llm._session import Scratch, chosen, join_uneven, only
 from tidemark.llm.words import COEF, mix, shingle_sets, sliced
 
 LONG = 3  # a list with more nodes is long: its pairs are found through families and blocks
@@ -318,10 +318,11 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame | None:
     """
     maps, links = [], links.select("a", "b")
     while links.count():
-        hook = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-        hook = scratch.keep(hook.select("node", F.least("node", "up").alias("up")), f"hook{len(maps)}")
-        maps.append(hook)
-        left = links.join(hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(hook.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
+        hook = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"), F.count(F.lit(1)).alias("n_links"))
+        hook = scratch.keep(hook.select("node", F.least("node", "up").alias("up"), "n_links"), f"hook{len(maps)}")
+        maps.append(hook.drop("n_links"))
+        left = join_uneven(links, hook.select(F.col("node").alias("a"), F.col("up").alias("ua"), "n_links"), "a", "n_links").drop("n_links")
+        left = join_uneven(left, hook.select(F.col("node").alias("b"), F.col("up").alias("ub"), "n_links"), "b", "n_links")
         links = scratch.keep(left.where("ua != ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), f"links{len(maps)}")
     if not maps:
         return None
@@ -360,7 +361,7 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     lows, rows = rows, scratch.keep(rows.drop("low"), "rows")
     in_play = rows.where("doc_id is not null and n > 0")
     classes = scratch.keep(in_play.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("marks").alias("marks")), "classes")
-    repeated = in_play.join(classes.where("n_copies > 1").select("node", "least_id"), "node").where("doc_id != least_id").select("node", "doc_id").distinct()
+    repeated = join_uneven(in_play.select("node", "doc_id"), classes.where("n_copies > 1").select("node", "least_id", "n_copies"), "node", "n_copies").where("doc_id != least_id").select("node", "doc_id").distinct()
     heads = only(lows.where("doc_id is not null and n > 0"), repeated, ["node", "doc_id"], "left_anti")
 
     total = heads.agg(F.sum(F.expr("length(low) div 8"))).first()[0] or 0
@@ -420,12 +421,15 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         counted.append(cells.where("n is not null").select(F.col("a").alias("node"), "n"))
 
     def sides(df: DataFrame, s: str, cols: tuple[str, ...]) -> DataFrame:
-        slots = scratch.keep(df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots")), "slots")
+        slots = scratch.keep(df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots"), F.count(F.lit(1)).alias("n_rows")), "slots")
         slot = F.pmod(F.xxhash64("node", F.lit(2)), "slots")
-        return df.join(slots, "family").groupBy("family", slot.alias(f"{s}_slot")).agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in cols])
+        slotted = join_uneven(df, slots, "family").withColumn(f"{s}_slot", slot)
+        return scratch.keep(slotted.groupBy("family", f"{s}_slot").agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in cols]), "blocks")
 
-    light = member.where("not heavy").join(classes.select("node", "marks"), "node")
-    met = sides(member.where("heavy"), "x", ("node", "n", "pos", "last")).join(sides(light, "y", ("node", "n", "pos", "low_n", "marks")), "family").drop("family", "x_slot", "y_slot")
+    light = scratch.keep(member.where("not heavy").join(classes.select("node", "marks"), "node"), "light")
+    x, y = sides(scratch.keep(member.where("heavy"), "wide"), "x", ("node", "n", "pos", "last")), sides(light, "y", ("node", "n", "pos", "low_n", "marks"))
+    # The numbers of the blocks are paired first, so that the blocks of one large family are dealt over all tasks.
+    met = x.select("family", "x_slot").join(y.select("family", "y_slot"), "family").join(x, ["family", "x_slot"]).join(y, ["family", "y_slot"]).drop("family", "x_slot", "y_slot")
     pairs = scratch.keep(pairs.union(met.mapInArrow(_light_pairs(pct), "a long, b long")).distinct(), "pairs")
     sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), False)
     # First on the low parts: a low token of one set before the end of the other's low part that isn't there is missing in it. Upper
@@ -452,18 +456,19 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
     known = classes.select("node", "least_id", "n_copies").join(linked, "node", "left")
     known = known.select("node", "least_id", "n_copies", (F.coalesce("n_linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     if label is not None:
-        known = known.join(label, "node", "left")
-        top = known.where("label is not null").groupBy("label").agg(F.min("least_id").alias("top"))
-        known = known.join(top, "label", "left").select("node", "n_copies", "n_links", F.coalesce("top", "least_id").alias("component_id"))
+        known = scratch.keep(known.join(label, "node", "left"), "labelled")
+        linked = known.where("label is not null")
+        top = scratch.keep(linked.groupBy("label").agg(F.min("least_id").alias("top"), F.count(F.lit(1)).alias("n_rows")), "tops")
+        linked = join_uneven(linked, top, "label").select("node", "n_copies", "n_links", F.col("top").alias("component_id"))
+        known = linked.union(known.where("label is null").select("node", "n_copies", "n_links", "least_id"))
     else:
         known = known.withColumnRenamed("least_id", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
-    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.when(has, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"), F.when(has, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        *(["node"] if node else []),
-    )
+    # Rows without a set or an id have a class of their own; they share one name, which must not be joined on.
+    rows = rows.withColumn("alone", F.col("doc_id").isNull() | (F.col("n") == 0))
+    known = scratch.keep(known, "known")
+    met = join_uneven(rows.where("not alone"), known, "node", "n_copies")
+    met = met.unionByName(rows.where("alone").withColumns({"n_copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long"), "component_id": F.col("doc_id")}), allowMissingColumns=True)
+    out = met.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", F.col("n_links").cast("long").alias("n_links"), *(["node"] if node else []))
     out = scratch.keep(out, "result")
     scratch.close(out)
     return out
