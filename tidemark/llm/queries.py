@@ -35,9 +35,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two releases of the rules against one stored ledger: the base rules read every blob, then the later rules, and only those, do."""
     docs = table(spark, sf_dir, "documents")
-    ledger = Scratch(spark, "secrets").keep(secret_ledger.scan_unseen(docs), "ledger")
-    found = secret_ledger.findings(docs, ledger)
+    ledger = secret_ledger.Ledger(spark, Scratch(spark, "secrets").folder("ledger"))
+    held = secret_ledger.paths(docs)
+    ledger.scan(docs, secret_ledger.BASE_RULES, held=held)
+    ledger.scan(docs, secret_ledger.RULES, held=held)
+    found = secret_ledger.findings(docs, ledger.rows(), held=held)
     base = [r.kind for r in secret_ledger.BASE_RULES]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     of_base = secret_ledger.spans_string(F.filter("spans", lambda s: s["kind"].isin(base)))

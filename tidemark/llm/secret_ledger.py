@@ -1,19 +1,21 @@
-"""Incremental secret scan over a content-addressed ledger, in DataFrame functions only.
+"""Incremental secret scan over a stored, content-addressed ledger, in DataFrame functions only.
 
 Every version of every file is named by the SHA-256 of its bytes (its blob). The ledger holds, for each blob, the rule versions
-that have read it and the spans that they found. A scan reads only blobs that lack a current rule version, applies only the rules
-that are missing, and the findings are then joined back to all the paths that hold the blob, however many copies there are.
+that have read it and the spans that they found. A scan reads only blobs that lack a current rule version, one path of each, applies
+only the rules that are missing, and adds what it found to the ledger; the findings are then joined back to all the paths that hold
+the blob, however many copies there are. Only names move in shuffles while the rows that a scan treats unlike most are few.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import chosen, only
+from tidemark.llm._session import Scratch, chosen, delete, is_small, join_uneven
 
 SPAN = "struct<start: bigint, ord: int, end: bigint, kind: string>"
 ENTRY = f"array<struct<rule: string, version: int, spans: array<{SPAN}>>>"
@@ -71,40 +73,115 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.regexp_like(text, pattern), spans).otherwise(none)
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """New ledger rows (blob, entries): one for each blob of ``versions`` that some rule version of ``rules`` hasn't read.
+def _blob(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
-    Null texts count as empty. A hot blob shrinks to one row in each task before the shuffle.
+
+def paths(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(blob, doc_id, n): which blob each path holds, and in how many rows; a written table of names, without texts. Null texts count
+    as empty, a null id is an id like others, and ``id_col`` may be of any type that can be compared, a struct of path and version too."""
+    own = chosen(versions, id_col, text_col).toDF("doc_id", "text").select(_blob("text").alias("blob"), "doc_id")
+    return Scratch(versions.sparkSession, "secrets").keep(own.groupBy("blob", "doc_id").agg(F.count(F.lit(1)).alias("n")), "paths")
+
+
+def scan_unseen(
+    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", held: DataFrame | None = None
+) -> DataFrame:
+    """New ledger rows (blob, entries): one for each blob of ``versions`` that some rule version of ``rules`` hasn't read, with the entries
+    of those rule versions only. ``held``: the ``paths`` of ``versions``, if they are known.
+
+    Of the paths that hold a blob the least is read. Each path has a mask of the rules that are to read it; the most frequent mask is
+    taken for granted, and the other paths are looked up by (blob, path): by broadcast while they are few, as copies are, or new blobs
+    beside a ledger. Beyond that both sides are shuffled. Null texts count as empty, long texts are read whole, other columns are
+    ignored; empty ``versions`` give an empty result.
     """
-    texts = chosen(versions, text_col).toDF("text").select(F.coalesce("text", F.lit("")).alias("text"))
-    named = texts.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
-    if ledger is not None:
-        # Texts that every rule has read stay where they are: only names are compared, and few unseen ones are broadcast.
-        done = ledger.select("blob", F.explode("entries").alias("e")).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "e.rule", "e.version")).alias("done"))
-        full = F.size(F.array_intersect("done", F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules]))) == len(rules)
-        unseen = named.select("blob").distinct().join(done.where(full), "blob", "left_anti")
-        blobs = only(named, unseen, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(done, "blob", "left")
+    scratch = Scratch(versions.sparkSession, "secrets")
+    own = chosen(versions, id_col, text_col).toDF("doc_id", "text")
+    held = paths(own) if held is None else held
+    every = (1 << len(rules)) - 1
+    blobs = held.groupBy("blob").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), F.max("n").alias("n_same"))
+    if ledger is None:
+        blobs = blobs.withColumn("missing", F.lit(every))
     else:
-        blobs = named.groupBy("blob").agg(F.first("text").alias("text")).withColumn("done", F.lit(None).cast("array<string>"))
+        done = ledger.select("blob", F.explode("entries").alias("e")).select("blob", F.concat_ws(":", "e.rule", "e.version").alias("r"))
+        bit = reduce(lambda acc, x: F.when(F.col("r") == f"{x[1].kind}:{x[1].version}", F.lit(1 << x[0])).otherwise(acc), enumerate(rules), F.lit(0))
+        read = done.groupBy("blob").agg(F.bit_or(bit).alias("read"))
+        missing = F.lit(every).bitwiseAND(F.bitwise_not(F.coalesce("read", F.lit(0))))
+        blobs = blobs.join(read, "blob", "left").withColumn("missing", missing).drop("read")
+    blobs = scratch.keep(blobs, "blobs")
+    mask = F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("missing")).otherwise(0)
+    rows = join_uneven(held, blobs, "blob").select("blob", "doc_id", "n_same", mask.alias("mask"))
+    rows = scratch.keep(rows, "masks")
+    counts = {r["mask"]: (r["count"], r["same"]) for r in rows.groupBy("mask").agg(F.count(F.lit(1)).alias("count"), F.max("n_same").alias("same")).collect()}
+    usual = max(counts, key=lambda m: (counts[m][0], m)) if counts else 0
+    few = rows.where(F.col("mask") != usual).select(F.col("blob").alias("_blob"), F.col("doc_id").alias("_id"), "mask")
+    few = F.broadcast(few) if is_small(few.select("_blob", F.col("_id").cast("string"))) else few
+    named = own.select(_blob("text").alias("blob"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    met = named.join(few, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    texts = met.select("blob", "text", F.coalesce("mask", F.lit(usual)).alias("mask")).where("mask != 0")
     entries = []
     for i, rule in enumerate(rules):
-        unseen = ~F.coalesce(F.array_contains("done", f"{rule.kind}:{rule.version}"), F.lit(False))
         entry = F.struct(F.lit(rule.kind).alias("rule"), F.lit(rule.version).alias("version"), _spans(F.col("text"), rule, i).alias("spans"))
-        entries.append(F.when(unseen, entry))
-    return blobs.select("blob", F.array_compact(F.array(*entries)).cast(ENTRY).alias("entries")).where(F.size("entries") > 0)
-
-
-def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        entries.append(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, entry))
+    found = texts.select("blob", F.array_compact(F.array(*entries)).cast(ENTRY).alias("entries"))
+    if any(same > 1 for m, (_, same) in counts.items() if m):  # a path that repeats the same text was read as often
+        found = found.groupBy("blob").agg(F.first("entries").alias("entries"))
+    return found
+
+
+class Ledger:
+    """Ledger rows in a folder that all executors share. Every scan adds a part; parts only state what was read and found, so a part that
+    is missing after a failure is scanned anew, and one that is there twice does no harm."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _parts(self) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [str(x.getPath().toString()) for x in fs.listStatus(p) if x.isDirectory()] if fs.exists(p) else []
+
+    def rows(self) -> DataFrame:
+        """(blob, entries); a blob may have several rows, each with other rule versions."""
+        parts = self._parts()
+        return self.spark.read.schema(LEDGER).parquet(*parts) if parts else self.spark.createDataFrame([], LEDGER)
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", held: DataFrame | None = None) -> int:
+        """Read what is unseen and add it; how many blobs were read."""
+        seen = self.rows()
+        part = f"{self.path}/scan-{uuid.uuid4().hex}"
+        scan_unseen(versions, seen if self._parts() else None, rules, id_col, text_col, held).write.parquet(part)
+        return self.spark.read.schema(LEDGER).parquet(part).count()
+
+    def merge(self) -> None:
+        """Bring all parts into one, with one row for each blob and each rule version once."""
+        old = self._parts()
+        if len(old) < 2:
+            return
+        flat = self.rows().select("blob", F.explode("entries").alias("e")).groupBy("blob", "e.rule", "e.version").agg(F.first("e.spans").alias("spans"))
+        one = flat.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("rule", "version", "spans"))).cast(ENTRY).alias("entries"))
+        one.write.parquet(f"{self.path}/merged-{uuid.uuid4().hex}")
+        for part in old:
+            delete(self.spark, part)
+
+
+def findings(
+    versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", held: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, blob, spans) for every row of ``versions``, from the ledger's entries of the current rule versions; spans by start,
-    then kind as listed. Rows without findings have an empty list."""
-    own = chosen(versions, id_col, text_col).toDF("doc_id", "text")
-    paths = own.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
+    then kind as listed. Rows without findings have an empty list; repeated rows stay; null ids are ids like others. ``held``: the
+    ``paths`` of ``versions``, if they are known; texts aren't read then."""
+    scratch = Scratch(versions.sparkSession, "secrets")
+    held = paths(versions, id_col, text_col) if held is None else held
     current = [f"{r.kind}:{r.version}" for r in rules]
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     hits = ledger.select("blob", F.explode(F.filter("entries", lambda e: F.concat_ws(":", e["rule"], e["version"]).isin(current) & (F.size(e["spans"]) > 0))).alias("e"))
     flat = hits.select("blob", F.transform("e.spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
     by_blob = flat.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    known = held.groupBy("blob").agg(F.count(F.lit(1)).alias("n_rows"))
+    known = scratch.keep(known.join(by_blob, "blob", "left"), "found")
+    rows = join_uneven(held, known, "blob").select("doc_id", "blob", "n", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return rows.select("doc_id", "blob", "spans", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("n")).drop("n")
 
 
 def spans_string(spans: Column) -> Column:
