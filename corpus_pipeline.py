@@ -13,18 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, secret_ledger, toxicity
-from tidemark.llm._session import Scratch, only, tune
+from tidemark.llm._session import Scratch, is_small, only, released, tune
 from tidemark.llm.jaccard_join import jaccard_components, named
 from tidemark.llm.queries import packed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY = ("plain", "good")
 QUALITY_WEIGHTS = [0.12, 0.88]
+MOST_COPIES = 8.0
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5."""
-    model = toxicity.train(*toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model, keep=True).where("score < 0.5").select(*COLUMNS)
 
 
@@ -44,19 +45,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each secret's span replaced by a mark."""
-    ledger = Scratch(spark, "secrets").keep(secret_ledger.scan_unseen(docs), "ledger")
-    found = secret_ledger.findings(docs, ledger).where(F.size("spans") > 0).select("doc_id", "blob", "spans").distinct()
+    scratch = Scratch(spark, "redaction")
+    held = secret_ledger.paths(docs)
+    ledger = secret_ledger.Ledger(spark, scratch.folder("ledger"))
+    ledger.scan(docs, held=held)
+    found = secret_ledger.findings(docs, ledger.rows(), held=held).where(F.size("spans") > 0).select("blob", "spans")
+    hit = scratch.keep(found.groupBy("blob").agg(F.first("spans").alias("spans")), "hits")
     keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
-    hit = found.select("blob", "spans").dropDuplicates(["blob"])
-    joined = keyed.join(F.broadcast(hit) if hit.count() <= 50_000 else hit, "blob", "left")
+    small = is_small(hit.select("blob", secret_ledger.spans_string(F.col("spans")).alias("spans")))
+    joined = keyed.join(F.broadcast(hit) if small else hit, "blob", "left")
     text = F.when(F.col("spans").isNotNull(), secret_ledger.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans").isNotNull(), F.char_length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says, at least once: no rate is under 1, so clean documents all stay."""
+    """Documents as often as their fitted rate says, at least once: no rate is under 1, so clean documents all stay, and none over
+    ``MOST_COPIES``. Without labels, or with labels of one quality only, each stays as it is."""
     domain = "case when quality = 1 then 'good' when quality = 0 then 'plain' end"
-    rated, _ = mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), domain, QUALITY, QUALITY_WEIGHTS, floor=1.0, keep=True)
+    rated, _ = mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), domain, QUALITY, QUALITY_WEIGHTS, floor=1.0, ceiling=MOST_COPIES, keep=True)
     return rated.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.greatest("mix_copies", F.lit(1))))).select(*COLUMNS)
 
 
@@ -81,5 +87,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before = docs
+        with released(spark, scratch):
+            docs = scratch.keep(stage(spark, before, sf_dir), name)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
