@@ -134,37 +134,28 @@ def unique_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class Trainer:
-    """Full-batch Adam on the cross-entropy of windows. Equal words share their n-grams and gradient work; n-grams of fewer than
-    ``least_texts`` texts aren't learnt, so nothing is remembered of single texts."""
+    """Full-batch Adam on the cross-entropy of words. Equal words of one class are one example with their weights added up, so the work
+    depends on distinct words; n-grams of fewer than ``least_texts`` texts aren't learnt, so nothing is remembered of single texts."""
 
-    def __init__(self, texts: list[str], width: int, classes: int, dim: int = 3, seed: int = 11, least_texts: int = 4):
-        data, start, self.word, rows = unique_words(texts)
+    def __init__(self, texts: list[str], classes: int, dim: int = 3, seed: int = 11, least_texts: int = 4):
+        data, start, self.word, self.text = unique_words(texts)
         ids, size = bags(data, start)
-        self.size = size.astype(np.float32)
-        owner = np.repeat(np.arange(len(size)), size)
-        common = text_counts(ids, size, self.word, rows) >= least_texts
-        self.ids, self.owner = ids[common[ids]], owner[common[ids]]
-        begin = np.searchsorted(rows, np.arange(len(texts)))
-        place = np.arange(len(rows)) - begin[rows]
-        cut = np.concatenate([[True], (rows[1:] != rows[:-1]) | (place[1:] % width == 0)]) if len(rows) else np.zeros(0, bool)
-        self.window = np.cumsum(cut) - 1
-        self.doc = rows[cut]
-        self.length = np.bincount(self.window).astype(np.float32)
-        rng = np.random.default_rng(seed)
-        self.used, self.slot = np.unique(self.ids, return_inverse=True)
+        self.size = np.maximum(size, 1).astype(np.float32)[:, None]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        common = text_counts(ids, size, self.word, self.text) >= least_texts
+        ids, owner = ids[common[ids]], owner[common[ids]]
+        self.used, self.slot = np.unique(ids, return_inverse=True)
         order = np.argsort(self.slot, kind="stable")
-        self.by_slot = self.owner[order]
-        self.word_edge, self.slot_edge = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (self.owner, self.slot[order]))
+        self.by_slot = owner[order]
+        self.word_edge, self.slot_edge = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (owner, self.slot[order]))
+        self.has = owner[self.word_edge]
+        rng = np.random.default_rng(seed)
         self.embed = (rng.random((len(self.used), dim)) - 0.5).astype(np.float32) / dim
         self.out = ((rng.random((dim, classes)) - 0.5) / dim).astype(np.float32)
         self.bias = np.zeros(classes, np.float32)
         self.state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.embed, self.out, self.bias)]
         self.step = 0
 
-    @staticmethod
-    def _sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(owner, values[:, d], n) for d in range(values.shape[1])], 1).astype(np.float32)
-
     @staticmethod
     def _runs(values: np.ndarray, edge: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
         """Sums of runs of rows that begin at ``edge``, put at rows ``at`` of n."""
@@ -174,21 +165,21 @@ class Trainer:
         return out
 
     def logits(self) -> tuple[np.ndarray, np.ndarray]:
-        word = self._runs(self.embed[self.slot], self.word_edge, len(self.size), self.owner[self.word_edge]) / np.maximum(self.size, 1)[:, None]
-        mean = self._sum(word[self.word], self.window, len(self.length)) / self.length[:, None]
+        """(mean vector, logits) of each distinct word."""
+        mean = self._runs(self.embed[self.slot], self.word_edge, len(self.size), self.has) / self.size
         return mean, mean @ self.out + self.bias
 
     def fit(self, label: np.ndarray, weight: np.ndarray, epochs: int, rate: float = 0.1, decay: float = 1e-6) -> None:
-        """``label`` and ``weight`` are of windows."""
-        target = np.eye(self.out.shape[1], dtype=np.float32)[label]
-        weight = (weight / weight.sum()).astype(np.float32)[:, None]
+        """``label`` and ``weight`` are of the words of the texts, one after another."""
+        classes = self.out.shape[1]
+        cell = np.bincount(self.word * classes + label, weight / weight.sum(), len(self.size) * classes).reshape(-1, classes).astype(np.float32)
+        total = cell.sum(1, keepdims=True)
         for _ in range(epochs):
             mean, z = self.logits()
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = (p - target) * weight
-            g_mean = (g @ self.out.T) / self.length[:, None]
-            g_word = self._sum(g_mean[self.window], self.word, len(self.size)) / np.maximum(self.size, 1)[:, None]
+            g = p * total - cell
+            g_word = (g @ self.out.T) / self.size
             g_embed = self._runs(g_word[self.by_slot], self.slot_edge, len(self.used), np.arange(len(self.used))) + decay * self.embed
             self.step += 1
             for p_, g_, s in zip((self.embed, self.out, self.bias), (g_embed, mean.T @ g, g.sum(0)), self.state, strict=True):

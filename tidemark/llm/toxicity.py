@@ -26,6 +26,7 @@ FLOOR = -30.0
 EPOCHS = (20, 25, 25)
 SHARE = 0.05  # of toxic words against clean ones in the later passes
 DECAY = 1e-4
+MARGIN = 2.0
 
 
 @dataclass
@@ -74,19 +75,20 @@ def train(texts: list[str], labels: list[int], rarity: float = 1.0, seed: int =
         own[np.flatnonzero(y == c)[::5]] = True
     if len(set(y[own])) < 2 or len(set(y[~own])) < 2:
         own[:] = False
-    t = Trainer([x for x, o in zip(texts, own, strict=True) if not o], 1, 2, seed=seed)
-    toxic = y[~own][t.doc]
+    t = Trainer([x for x, o in zip(texts, own, strict=True) if not o], 2, seed=seed)
+    toxic = y[~own][t.text]
     if len(set(toxic)) < 2:  # a class without words
         return constant(0)
     share = np.where(toxic == 1, len(toxic) / (toxic == 1).sum(), len(toxic) / (toxic == 0).sum()).astype(np.float32)
     t.fit(toxic, share, EPOCHS[0])
     for epochs in EPOCHS[1:]:
-        _, z = t.logits()
-        z = z[:, 1] - z[:, 0]
-        best = np.full(t.doc.max() + 1, -np.inf)
-        np.maximum.at(best, t.doc, z)
-        # Words of toxic documents that look no worse than the worst ones of clean documents tell nothing.
-        use = (toxic == 0) | (z >= np.minimum(best[t.doc] - 1e-6, max(np.quantile(z[toxic == 0], 0.999), 0.0)))
+        z = np.diff(t.logits()[1])[t.word, 0]
+        best = np.full(t.text.max() + 1, -np.inf)
+        np.maximum.at(best, t.text, z)
+        # Words of toxic documents tell nothing if they look no worse than the worst ones of clean documents, or if a much worse word
+        # of the same document explains its label.
+        worst = max(np.quantile(z[toxic == 0], 0.999), 0.0)
+        use = (toxic == 0) | (z >= best[t.text] - 1e-6) | ((z >= worst) & (z >= best[t.text] - MARGIN))
         weight = np.where(use, np.where(toxic == 1, SHARE * (toxic == 0).sum() / max(1, (use & (toxic == 1)).sum()), 1.0), 0.0)
         t.fit(toxic, weight, epochs, decay=DECAY)
     table, bias = t.table()
