@@ -1,3 +1,4 @@
+import random
 import re
 import textwrap
 
@@ -26,13 +27,30 @@ def brute(text, gap=3):
         if hit:
             ids.append((hit, k))
 
-    def chain(rule, at, last):
-        if not rule:
-            return True
-        return any(i == rule[0] and (last is None or (j > last and j - last <= gap + 1)) and chain(rule[1:], n + 1, j) for n, (i, j) in enumerate(ids) if n >= at)
-
-    found = {x for x, rules in R.RULES.items() if any(chain(r, 0, None) for r in rules)}
-    return sorted(x for x in found if not any(y in found for y in R.EXTENDED_BY.get(x, ())))
+    return sorted({x for x, _, _ in matches(ids, gap)})
+
+
+def matches(ids, gap=3):
+    """(licence, first, last) by trying every end of every rule, from (identifier, sentence) pairs."""
+    every = []
+    for licence, rules in R.RULES.items():
+        for rule in rules:
+            free = 0
+            for n, (_, end) in enumerate(ids):
+                # the nearest place of each identifier before the next one's, back from this end
+                at, k = n, len(rule) - 1
+                if ids[n][0] != rule[k] or n < free:
+                    continue
+                while k:
+                    back = [m for m in range(free, at) if ids[m][0] == rule[k - 1]]
+                    if not back or ids[at][1] - ids[back[-1]][1] > gap + 1:
+                        break
+                    at, k = back[-1], k - 1
+                if not k:
+                    every.append((licence, rule, ids[at][1], end))
+                    free = n + 1
+    inside = lambda a, b: len(b) > len(a) and any(b[i : i + len(a)] == a for i in range(len(b)))
+    return {(x, a, b) for x, r, a, b in every if not any(inside(r, q) and c <= a and b <= d for _, q, c, d in every)}
 
 
 def test_licences(spark):
@@ -65,6 +83,14 @@ REAL = {
     "BSD-3-Clause": (BSD[0] + "\n\n" + "\n\n".join(f"{n}. {x}" for n, x in enumerate(BSD[1:], 1)), ["B1", "B2", "B3", "B4"]), "BSD-2-Clause": (BSD[0] + "\n\n" + "\n".join(f"* {x}" for x in BSD[1:3]), ["B1", "B2", "B3"]),
     "Unlicense": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.", ["Z1"]),
 }
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+REAL |= {
+    "LGPL-2.1-or-later": (GPL3.replace("program", "library").replace("software:", "software;").replace("GNU General Public License as", "GNU Lesser General Public License as").replace("version 3", "version 2.1"), ["L1", "G3"]),
+    "LGPL-3.0-or-later": (GPL3.replace("program", "library").replace("GNU General Public License as", "GNU Lesser General Public License as"), ["L2", "G3"]), "AGPL-3.0-or-later": (GPL3.replace("GNU General Public License as", "GNU Affero General Public License as"), ["N1", "G3"]),
+    "GPL-2.0-only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["G5"]), "MPL-2.0": (MPL, ["P1", "P2"]), "Zlib": (ZLIB, ["Y1", "Y2"]),
+    "CC0-1.0": ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", ["D1"]), "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", ["O1"]),
+}
 LEADERS = (("", ""), ("# ", "#"), (" * ", " *"), ("// ", "//"), ("REM ", "REM"), (";; ", ";;"))
 
 
@@ -85,7 +111,7 @@ def brute_ids(text):
         word = [m[0].lower() for m in found]
         gap = [para[a.end() : b.start()] for a, b in zip(found, found[1:])] + ["\n"]
         stop = ["\n" in g or bool(re.search(r"[!?;]|[.:](\W|$)", g)) for g in gap]
-        full = [bool(re.search(r"[!?]|\.\W", g)) for g in gap]
+        full = [bool(re.search(r"[!?]|\.\W", g)) and not (word[n] == "v" and g.startswith(".")) for n, g in enumerate(gap)]
         at = 0
         while at < len(word):
             fits = [(len(s.split()), i) for i, group in R.SENTENCES.items() for s in group if word[at : at + len(s.split())] == s.split() and stop[at + len(s.split()) - 1] and not any(full[at : at + len(s.split()) - 1])]
@@ -109,10 +135,29 @@ def test_wrapped_real_notices(spark):
         assert got[i].sentence_ids == brute_ids(text), text
 
 
+def test_matches_are_places(spark):
+    two = "\n".join([*BSD[:3], *["x"] * 9, *BSD])
+    rows = [(1, two), (2, "\n".join([BSD[0], "Licensed under CC BY 4.0.", BSD[1], BSD[2]])), (3, MIT + "\n\n" + "Some words.\n" * 6 + MIT), (4, "// SPDX-License-Identifier: GPL-2.0-or-later\n/* SPDX-License-Identifier: MIT */\n# SPDX-License-Identifier: CC0-1.0")]
+    got = {r.doc_id: {(m.license, m["first"], m["last"]) for m in r.matches} for r in R.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: {("BSD-2-Clause", 0, 2), ("BSD-3-Clause", 12, 15)}, 2: {("BSD-2-Clause", 0, 3), ("CC-BY-4.0", 1, 1)}, 3: {("MIT", 0, 1), ("MIT", 8, 9)}, 4: {("GPL-2.0-or-later", 0, 0), ("MIT", 1, 1), ("CC0-1.0", 2, 2)}}
+
+
+def test_random_sequences_equal_brute_force(spark):
+    r = random.Random(6)
+    names = ["B1", "B2", "B3", "B4", "M2", "M3", "M4", "G2", "G3", "A1", "A2"]
+    rows, want = [], []
+    for n in range(400):
+        pick = [r.choice(names) if r.random() < 0.6 else None for _ in range(r.randint(0, 14))]
+        rows.append((n, "\n".join(R.SENTENCES[x][0] if x else "filler words" for x in pick)))
+        want.append(matches([(x, i) for i, x in enumerate(pick) if x]))
+    got = {x.doc_id: {(m.license, m["first"], m["last"]) for m in x.matches} for x in R.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_every_identifier_and_rule_is_reached(spark):
     odd = {"A3": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"}
     one = [(i, i, odd.get(i, s)) for i, group in R.SENTENCES.items() for s in group]
-    rules = [(f"{licence} {n}", licence, "\n".join(R.SENTENCES[i][0] for i in rule)) for licence, rs in R.RULES.items() for n, rule in enumerate(rs)]
+    rules = [(f"{licence} {n}", licence, "\n".join(R.SENTENCES[i][0] if i in R.SENTENCES else "SPDX-License-Identifier: " + licence for i in rule)) for licence, rs in R.RULES.items() for n, rule in enumerate(rs)]
     got = {r.doc_id: r for r in R.recognise(spark.createDataFrame([(n, t) for n, _, t in rules], "doc_id string, text string")).collect()}
     assert all(got[n].licenses == [licence] and len(got[n].sentence_ids) == t.count("\n") + 1 for n, licence, t in rules)
     assert all(r.sentence_ids == [r.doc_id] for r in R.recognise(spark.createDataFrame([(i, t) for i, _, t in one], "doc_id string, text string")).collect())

@@ -82,7 +82,12 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_rules.recognise(table(spark, sf_dir, "documents")).select("doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", F.transform("places", lambda x: x.cast("string"))).alias("places"), F.concat_ws(",", "licenses").alias("licenses"))
+    found = license_rules.recognise(table(spark, sf_dir, "documents"))
+    matches = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["first"], m["last"]))
+    return found.select(
+        "doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", F.transform("places", lambda x: x.cast("string"))).alias("places"),
+        F.concat_ws(",", "licenses").alias("licenses"), F.concat_ws(",", matches).alias("matches"),
+    )
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
