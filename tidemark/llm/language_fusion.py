@@ -17,13 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._session import Scratch, chosen, fitted, labelled_sample
+from tidemark.llm._session import Scratch, chosen, fitted, join_uneven, labelled_sample
 from tidemark.llm.subword import folded, grams
 from tidemark.llm.words import sliced
 
-TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})"
-CONTENT_LANGUAGE = r"(?is)<meta\b[^>]*?content-language[\"']?[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})"
+# Every alternative reaches to the end of the text where its own end is missing, so no part of a page is read twice.
+TAG = re.compile(r"<(script|style)\b(?:.*?</\1\s*>|.*\Z)|<!--(?:.*?-->|.*\Z)|<[A-Za-z/!?][^>]*(?:>|\Z)", re.S | re.I)
+OPENING = re.compile(r"<(html|meta)\b([^>]*)(?:>|\Z)", re.I)
+LANG = re.compile(r"(?:\A|[\s\"'])lang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+CONTENT = re.compile(r"content\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+#: Labels under which names are registered one level deeper, where the last label is a country's. By rule, not a full list:
+#: a second label of this kind and a last one of two letters make a suffix of two labels.
+SECOND_LEVEL = frozenset("ac co com edu go gob gouv gov gv id ltd me mil ne net nom or org plc sch".split())
 PSEUDO = {"host": 4.0, "domain": 8.0, "suffix": 16.0}  # strength of the level above, in pages
 PRIOR_ODDS = 6.0  # the most that a host's prior may count for, in nats for one language against another
 
@@ -80,28 +85,52 @@ def learn(docs: DataFrame, languages: tuple[str, ...], a_language: int = 300, le
     return model
 
 
+def declared(html: str) -> str | None:
+    """The language that the html element declares, else the first one of a content-language meta element."""
+    said = None
+    for m in OPENING.finditer(html):
+        if m[1].lower() == "html":
+            if found := LANG.search(m[2]):
+                return found[1].lower()
+        elif said is None and "content-language" in m[2].lower() and (found := CONTENT.search(m[2].replace("content-language", "").replace("Content-Language", ""))):
+            said = found[1].lower()
+    return said
+
+
 def text_scores(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, url, declared, z (log likelihood of each language, up to a constant) for every page; its whole text is read."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    declared = F.coalesce(F.nullif(F.regexp_extract("html", DECLARED, 1), F.lit("")), F.nullif(F.regexp_extract("html", CONTENT_LANGUAGE, 1), F.lit("")))
-    own = chosen(pages, "page_id", "url", "html").select("page_id", "url", F.lower(declared).alias("declared"), "html")
+    own = chosen(pages, "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import html
 
         for batch in sliced(batches, 256):
-            texts = pa.array([html.unescape(TAG.sub(" ", x or "")) for x in batch.column(3).to_pylist()], pa.string())
+            sources = [x or "" for x in batch.column(2).to_pylist()]
+            texts = pa.array([html.unescape(TAG.sub(" ", x)) for x in sources], pa.string())
             z = shared.value.scores(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(z), pa.list_(pa.float64()))], names=["page_id", "url", "declared", "z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([declared(x) for x in sources], pa.string()), pa.array(list(z), pa.list_(pa.float64()))], names=["page_id", "url", "declared", "z"])
 
     return own.mapInArrow(run, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, declared string, z array<double>")
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
-    """Host, registered domain (its last two labels) and suffix (the last); empty where there is none."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """Host, registered domain (suffix and one label more) and suffix (the last label, or the last two where names are registered one
+    level deeper); empty where there is none. A numeric address is its own domain and suffix."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]*\]|[^/:?#\[]+)", 1))
+    host = F.regexp_replace(host, r"\.$", "")
     labels = F.split(host, r"\.")
-    return host, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.element_at(labels, -1)
+    n = F.size(labels)
+    numeric = host.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
+    second = F.when(n > 1, F.element_at(labels, F.when(n > 1, -2).otherwise(-1)))
+    deep = (n > 2) & (F.length(F.element_at(labels, -1)) == 2) & second.isin(*sorted(SECOND_LEVEL))
+    own = F.when(deep, 2).otherwise(1)
+
+    def last(k: Column) -> Column:
+        k = F.least(k, n)
+        return F.array_join(F.slice(labels, n - k + 1, k), ".")
+
+    return host, F.when(numeric, host).otherwise(last(own + 1)), F.when(numeric, host).otherwise(last(own))
 
 
 def _softmax(z: Column) -> Column:
@@ -114,7 +143,8 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
 
     Null or empty html leaves the declaration and the host's prior; a null url falls under the empty host; a declared language that
     the model doesn't know says nothing. Ties go to the language listed first. Repeated rows stay, extra columns are ignored, an
-    empty table gives an empty result. A host with a third of all pages is one row of counts for each task before any shuffle.
+    empty table gives an empty result. A host with a third of all pages is one row of counts for each task before any shuffle, and its
+    prior comes back to its pages by broadcast. Every page gets one of the model's languages; there is none for "other".
     """
     names, k = model.languages, len(model.languages)
     scratch = Scratch(pages.sparkSession, "language")
@@ -147,8 +177,8 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     by_suffix = smooth(level(["suffix"]).withColumn("all", F.array(*[F.lit(float(x)) for x in share])), "all", PSEUDO["suffix"], "p_suffix").select("suffix", "p_suffix")
     by_domain = smooth(level(["suffix", "domain"]).join(by_suffix, "suffix"), "p_suffix", PSEUDO["domain"], "p_domain").select("suffix", "domain", "p_domain")
     # A page's own vote is taken out of its host's counts, else a lone page would only confirm itself.
-    by_host = hosts.join(by_domain, ["suffix", "domain"])
-    met = page.join(by_host.drop("suffix", "domain"), "host")
+    by_host = scratch.keep(hosts.join(by_domain, ["suffix", "domain"]).drop("suffix", "domain"), "priors")
+    met = join_uneven(page, by_host, "host", "n")
     s = PSEUDO["host"]
     prior = F.array(*[F.log((F.greatest(F.col(f"s{i}") - F.col("own")[i], F.lit(0.0)) + s * F.col("p_domain")[i]) / (F.col("n") - 1 + s)) for i in range(k)])
     # However many pages a host has, a clear text outweighs them.
