@@ -86,6 +86,37 @@ def test_stream_inserts_with_rejects(spark, name, tmp_path):
     spark.sql(f"DROP TABLE {bad}")
 
 
+def test_reasons_of_rejects_and_replayed_batches(spark, tmp_path):
+    good, bad = (f"t_{uuid.uuid4().hex}" for _ in range(2))
+    sinks.ensure_table(spark, good, "id long, name string, batch int", by="batch")
+    sinks.ensure_table(spark, bad, "id long, name string, reason string, batch int", by="batch")
+    spark.createDataFrame([(1, "a"), (2, None), (None, "c"), (None, None), (5, "e")], "id long, name string").write.parquet(str(tmp_path / "in"))
+    rules = {"no id": "id IS NOT NULL", "name": "name < 'd' OR id = 5"}
+    for checkpoint in ("one", "two"):  # a second run from a new checkpoint replays batch 0
+        stream = spark.readStream.schema("id long, name string").parquet(str(tmp_path / "in"))
+        sinks.insert_stream(stream, good, str(tmp_path / checkpoint), rejects=bad, valid=rules, batch_col="batch").awaitTermination(120)
+        for t in (good, bad):
+            spark.catalog.refreshTable(t)  # a stream writes from a session of its own
+        assert sorted((r.id, r.name, r.batch) for r in spark.table(good).collect()) == [(1, "a", 0), (5, "e", 0)]
+        assert sorted((str(r.id), str(r.name), r.reason) for r in spark.table(bad).collect()) == [("2", "None", "name"), ("None", "None", "no id,name"), ("None", "c", "no id")]
+    sinks.write_batch(spark.createDataFrame([(9, "z")], "id long, name string"), good, "batch", 1)
+    sinks.write_batch(spark.createDataFrame([(8, "y")], "id long, name string"), good, "batch", 1)
+    assert sorted((r.id, r.batch) for r in spark.table(good).collect()) == [(1, 0), (5, 0), (8, 1)]
+    for t in (good, bad):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_step_names_and_counts(spark):
+    sc = spark.sparkContext
+    with sinks.step(spark, "outer"):
+        with sinks.step(spark, "inner"):
+            assert sc.getLocalProperty("spark.job.description") == "inner"
+        assert sc.getLocalProperty("spark.job.description") == "outer"
+    df, seen = sinks.observed(spark.range(7), "ids", top=F.max("id"))
+    df.collect()
+    assert seen.get == {"rows": 7, "top": 6}
+
+
 def test_durations():
     assert millis("10 minutes") == 600_000 and millis("1 hour 30 seconds") == 3_630_000
     with pytest.raises(ValueError):

@@ -116,3 +116,9 @@ def test_windowed_join(run, spark):
     screens = spark.createDataFrame([(at("12:01"), "s", "p")], "event_time timestamp, screen_id string, publication_id string")
     rows = run(AD, [[ev("I", "12:00")], [ev("C", "12:10")]], lambda s: S.enrich_in_window(s, screens, "10 minutes"))
     assert own(rows, "event_time", "publication_id") == [(day("12:10", -1), "p"), (day("12:20", -1), None)]
+
+
+def test_unknown_events_are_enriched(run, spark):
+    screens = spark.createDataFrame([(at("12:01"), "s", "p")], "event_time timestamp, screen_id string, publication_id string")
+    rows = run(AD, [[(at("12:00"), "a", "s", "Unknown")], [(at("12:10"), "a", "s", "Unknown")], [ev("C", "12:40")]], lambda s: S.enrich_in_window(s, screens, "10 minutes"))
+    assert [r for r in own(rows, "event_time", "action", "publication_id") if r[1] == "Unknown"] == [(day("12:10", -1), "Unknown", "p"), (day("12:20", -1), "Unknown", None)]

@@ -50,8 +50,10 @@ def plus(time: Column | str, ms: int) -> Column:
     return c + F.expr(f"make_dt_interval(0, 0, 0, {ms / 1000:.3f})")
 
 
-def ad_events(events: DataFrame, screens: int | None = 10) -> DataFrame:
-    """event_time, ad_id, screen_id, action, event_id; ``screens``: users share so many screens, None gives each user their own."""
+def ad_events(events: DataFrame, screens: int | None = 10, known: bool = False) -> DataFrame:
+    """event_time, ad_id, screen_id, action, event_id; ``screens``: users share so many screens, None gives each user their own.
+    ``known``: clicks and impressions only, as a filter on the source's own column, which reaches its scan."""
+    events = events.where(F.col("event_type").isin("click", "view")) if known else events
     screen = F.col("user_id") % screens if screens else F.col("user_id")
     action = F.when(F.col("event_type") == "click", CLICK).when(F.col("event_type") == "view", IMPRESSION).otherwise(UNKNOWN)
     return events.select(F.col("ts").alias("event_time"), F.get_json_object("props", "$.k").alias("ad_id"), screen.cast("string").alias("screen_id"), action.alias("action"), "event_id")

@@ -50,5 +50,9 @@ def fixed_window_panes(events: DataFrame, duration: str, lateness: str = "0 minu
 
 
 def sliding_window_panes(ctrs: DataFrame, duration: str, period: str, lateness: str = "0 minutes") -> DataFrame:
-    """Panes of the sliding sums of per-screen counts."""
+    """Panes of the sliding sums of per-screen counts. Rows of one period, key and batch are added up before they are copied into their
+    windows, where windows begin and end with periods."""
+    if millis(duration) % millis(period) == 0:
+        sums = ctrs.groupBy(F.window("event_time", period), "screen_id", "ad_id", "batch_id", "watermark").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+        ctrs = sums.withColumn("event_time", F.col("window.start")).drop("window")
     return _panes(ctrs, F.window("event_time", duration, period), ["screen_id", "ad_id"], lateness, "total")

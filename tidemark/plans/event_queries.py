@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark import model
 from tidemark.functions import ctr
 from tidemark.operators import enrich, panes, repeat, windows
-from tidemark.sources import tables
+from tidemark.sources import sinks, tables
 
 FIXED = "6 hours"
 SLIDING, PERIOD = "2 days", "6 hours"
@@ -19,6 +22,7 @@ LATENESS = "12 hours"
 REPEAT_EVERY, REPEAT_FOR = "12 hours", "2 days"
 CACHE_FOR = "6 hours"
 BATCH = 250
+PUBLISHED = 100.0  # the value of a sign-up that publishes, in the query of views without a publication
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +37,12 @@ def _ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.ad_events(_events(spark, sf_dir))
 
 
+def _known_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.ad_events(_events(spark, sf_dir), known=True)
+
+
 def _user_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.ad_events(_events(spark, sf_dir), screens=None).where(F.col("action") != model.UNKNOWN)
+    return model.ad_events(_events(spark, sf_dir), screens=None)
 
 
 def _arrived(df: DataFrame) -> DataFrame:
@@ -56,11 +64,11 @@ def sliding_window_ctr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def custom_window_ctr_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.custom_window_ctr(_ads(spark, sf_dir), TO_CLICK, TO_IMPRESSION)
+    return windows.custom_window_ctr(_known_ads(spark, sf_dir), TO_CLICK, TO_IMPRESSION)
 
 
 def custom_window_ctr_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.custom_window_ctr_live(_ads(spark, sf_dir), TO_CLICK, TO_IMPRESSION)
+    return windows.custom_window_ctr_live(_known_ads(spark, sf_dir), TO_CLICK, TO_IMPRESSION)
 
 
 def fixed_window_ctr_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +93,10 @@ def broadcast_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broadcast_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_latest(spark, sf_dir)[1].select("screen_id", "publication_id", "event_time")
+    """Views of users whose sign-ups, all of them, were worth little: only others publish here."""
+    e = _events(spark, sf_dir)
+    published = model.publications(e.where(F.col("value") > PUBLISHED))
+    return enrich.enrich_by_latest(model.screens_of_views(e), published)[1].select("screen_id", "publication_id", "event_time")
 
 
 def repeat_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +119,10 @@ def windowed_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_in_window(_user_ads(spark, sf_dir), model.screens_of_signups(_events(spark, sf_dir)), SLIDING)[0]
 
 
+def windowed_left_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enrich_in_window(_user_ads(spark, sf_dir), model.screens_of_signups(_events(spark, sf_dir)), SLIDING)[1]
+
+
 def _by_cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = _events(spark, sf_dir)
     return enrich.enrich_by_cache(model.screens_of_views(e), model.publications(e), CACHE_FOR)
@@ -128,6 +143,13 @@ def co_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("publication_id", size("left_rows"), size("right_rows"))
 
 
+def co_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    left, right = model.screens_of_views(e).select("publication_id", "event_time", "event_id"), model.publications(e).select("publication_id", "event_time", "event_id")
+    ids = lambda c: F.concat_ws(",", F.transform(F.coalesce(c, F.array()), lambda x: x["event_id"].cast("string"))).alias(c)
+    return enrich.co_group(left, right, "publication_id").select("publication_id", ids("left_rows"), ids("right_rows"))
+
+
 def max_instant_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("user_id").agg(ctr.max_instant("ts").alias("max_ts"))
 
@@ -148,10 +170,49 @@ def count_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.count(scan_filter_like(spark, sf_dir))
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _new_table(spark: SparkSession, schema) -> str:
+    """A table of this run alone; it goes when the program ends."""
+    name = f"tidemark_{uuid.uuid4().hex}"
+    sinks.ensure_table(spark, name, schema)
+    _made.append((spark, name))
+    return name
+
+
+@atexit.register
+def _drop() -> None:
+    for spark, name in _made:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sinks off one input."""
+    to = _new_table(spark, model.RECORD)
+    sinks.write_all(tables.generate_records(spark), [lambda df: sinks.write_table(df, to)] * 2)
+    return tables.scan_table(to, spark).groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in a table after each write of all customers: added to it while empty, added again, put in place of all."""
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    to = _new_table(spark, own.schema)
+    out = []
+    for n, how in enumerate((sinks.EMPTY, sinks.APPEND, sinks.TRUNCATE)):
+        sinks.write_table(own, to, how)
+        out.append((n, how, spark.table(to).count()))
+    return spark.createDataFrame(out, "step int, disposition string, n long")
+
+
 def typed_record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = tables.generate_records(spark)
-    as_map = records.withColumn("attributes", tables.pairs_to_map("attributes")).to(model.MAP_RECORD)
-    back = as_map.withColumn("attributes", tables.map_to_pairs("attributes"))
+    """Through two tables: one of the row format with a map, one of pairs."""
+    as_map, pairs = _new_table(spark, model.MAP_RECORD), _new_table(spark, model.RECORD)
+    sinks.write_table(records.withColumn("attributes", tables.pairs_to_map("attributes")), as_map, sinks.EMPTY)
+    sinks.write_table(spark.table(as_map).withColumn("attributes", tables.map_to_pairs("attributes")), pairs)
+    back = tables.scan_table(pairs, spark)
     return back.select("id", F.col("timestamp").cast("timestamp_ntz").alias("at"), "name", "description", F.explode("attributes").alias("a")).select("id", "at", "name", "description", "a.key", "a.value")
 
 
@@ -163,8 +224,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ad_event_to_ctr, fixed_window_ctr, sliding_window_ctr, custom_window_ctr_bounded, custom_window_ctr_live, fixed_window_ctr_panes, sliding_window_ctr_panes, latest_publication, broadcast_enriched, broadcast_dlq,
-        repeat_emissions, repeater_enriched, repeater_dlq, windowed_left_join, lookup_cache_enriched, lookup_cache_dlq, co_group_sizes, max_instant_by_key, scan_full, scan_filter_like, scan_row_restriction, count_records,
-        typed_record_roundtrip, sample,
+        repeat_emissions, repeater_enriched, repeater_dlq, windowed_left_join, windowed_left_dlq, lookup_cache_enriched, lookup_cache_dlq, co_group_sizes, co_group_rows, max_instant_by_key, scan_full, scan_filter_like, scan_row_restriction, count_records,
+        typed_record_roundtrip, written_twice, write_dispositions, sample,
     )
 }
 
@@ -210,7 +271,7 @@ _REPEAT = f"""v AS (SELECT CAST(user_id AS VARCHAR) AS k, epoch_us(ts) // 1000 A
 
 
 def _windowed(right: str, width: str) -> str:
-    return f"""l AS (SELECT screen_id, ad_id, action, {bucket(width, 'event_time')} AS s FROM ad WHERE action <> 'Unknown'),
+    return f"""l AS (SELECT screen_id, ad_id, action, {bucket(width, 'event_time')} AS s FROM ad),
  j AS (SELECT l.*, x.publication_id FROM l LEFT JOIN (SELECT screen_id, publication_id, {bucket(width, 'event_time')} AS s FROM {right}) x USING (screen_id, s))"""
 
 
@@ -249,14 +310,19 @@ SELECT screen_id, ad_id, arg_max(c, rn) AS clicks, arg_max(i, rn) AS impressions
     "sliding_window_ctr_panes": f"WITH {AD}, {_ARRIVED}, " + _panes(f"w AS (SELECT a.*, {bucket(PERIOD, 'event_time')} - r.k * INTERVAL '{PERIOD}' AS s FROM arrived a, range({_COPIES}) r(k))", SLIDING, "sum"),
     "latest_publication": f"WITH {_LATEST} SELECT publication_id, version, event_time FROM latest",
     "broadcast_enriched": f"WITH {_LATEST}, {_VIEWS} SELECT v.screen_id, v.publication_id, l.version, v.event_time FROM views v JOIN latest l USING (publication_id)",
-    "broadcast_dlq": f"WITH {_LATEST}, {_VIEWS} SELECT v.screen_id, v.publication_id, v.event_time FROM views v ANTI JOIN latest l USING (publication_id)",
+    "broadcast_dlq": f"WITH {_VIEWS} SELECT v.screen_id, v.publication_id, v.event_time FROM views v WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'signup' AND e.value > {PUBLISHED} AND CAST(e.user_id AS VARCHAR) = v.publication_id)",
     "repeat_emissions": f"WITH RECURSIVE {_REPEAT} SELECT screen_id, publication_id, event_time FROM r",
     "repeater_enriched": f"WITH RECURSIVE {USER_AD}, {_REPEAT}, {_windowed('r', REPEAT_EVERY)} SELECT screen_id, ad_id, action, publication_id, {_window_columns(REPEAT_EVERY)} FROM j WHERE publication_id IS NOT NULL",
     "repeater_dlq": f"WITH RECURSIVE {USER_AD}, {_REPEAT}, {_windowed('r', REPEAT_EVERY)} SELECT screen_id, ad_id, action, {_window_columns(REPEAT_EVERY)} FROM j WHERE publication_id IS NULL",
     "windowed_left_join": f"WITH {USER_AD}, {_SIGNUPS}, {_windowed('signups', SLIDING)} SELECT screen_id, ad_id, action, publication_id, {_window_columns(SLIDING)} FROM j WHERE publication_id IS NOT NULL",
+    "windowed_left_dlq": f"WITH {USER_AD}, {_SIGNUPS}, {_windowed('signups', SLIDING)} SELECT screen_id, ad_id, action, {_window_columns(SLIDING)} FROM j WHERE publication_id IS NULL",
     "lookup_cache_enriched": f"WITH {_CACHE} SELECT k AS publication_id, CAST(event_id AS VARCHAR) AS screen_id, coalesce(past.v, next.v) AS version, CASE WHEN past IS NOT NULL THEN t ELSE next.t END AS event_time FROM x WHERE is_left AND (past IS NOT NULL OR next IS NOT NULL)",
     "lookup_cache_dlq": f"WITH {_CACHE} SELECT k AS publication_id, CAST(event_id AS VARCHAR) AS screen_id, mx AS event_time FROM x WHERE is_left AND past IS NULL AND next IS NULL",
     "co_group_sizes": "SELECT CAST(user_id AS VARCHAR) AS publication_id, count(*) FILTER (event_type = 'view') AS n_left_rows, count(*) FILTER (event_type = 'signup') AS n_right_rows FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1",
+    "co_group_rows": """SELECT CAST(user_id AS VARCHAR) AS publication_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) FILTER (event_type = 'view'), '') AS left_rows,
+ coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) FILTER (event_type = 'signup'), '') AS right_rows FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1""",
+    "written_twice": "SELECT i AS id, 'some name ' || i AS name, CAST(2 AS BIGINT) AS n FROM range(1, 101) r(i)",
+    "write_dispositions": "SELECT CAST(k AS INTEGER) AS step, ['empty', 'append', 'truncate'][k + 1] AS disposition, count(*) * [1, 2, 1][k + 1] AS n FROM customer, range(3) s(k) GROUP BY k",
     "max_instant_by_key": "SELECT user_id, greatest(max(ts), TIMESTAMP '1970-01-01') AS max_ts FROM events GROUP BY user_id",
     "scan_full": "SELECT * FROM customer",
     "scan_filter_like": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_name LIKE '%9%'",

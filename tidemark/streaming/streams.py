@@ -67,7 +67,7 @@ def enrich_by_latest(screens: DataFrame, publications: DataFrame, tie: str = "ev
 def enrich_in_window(events: DataFrame, screens: DataFrame, duration: str) -> DataFrame:
     """Left outer join on screen and fixed window; a row without a match comes once its window is over. Split it by a null
     publication_id in ``foreachBatch``."""
-    left = events.where(F.col("action") != UNKNOWN).withWatermark("event_time", "0 seconds").select("screen_id", "ad_id", "action", F.window("event_time", duration))
+    left = events.withWatermark("event_time", "0 seconds").select("screen_id", "ad_id", "action", F.window("event_time", duration))
     right = screens.select("screen_id", "publication_id", F.window("event_time", duration))
     return left.join(right, ["screen_id", "window"], "left").select("screen_id", "ad_id", "action", "publication_id", *bounds())
 
