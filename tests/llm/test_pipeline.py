@@ -52,6 +52,18 @@ def test_repeated_ids_are_dropped_by_their_own_text(spark):
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in want)
 
 
+def test_repeated_rows_by_their_own_text_and_no_labels(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (9, words + " more"), (9, "other words stand here now"), (7, "x y z"), (7, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.one_of_each_group(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, words), (9, "other words stand here now"), (7, "x y z")])
+    for labels in ([], [(i, 1, 0) for i in range(5)]):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        assert sorted(map(str, P.mixed(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+        assert sorted(map(str, P.without_toxic(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_odd_documents(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (None, "token=abcdefgh and words", "en", "s", 24), (3, "token=abcdefgh and words", "en", "s", 24), (4, "w " * 50_000, "en", None, 100_000)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import subword as S
 from tidemark.llm import toxicity as T
 from tidemark.llm import words as W
-from tidemark.llm._session import Scratch, labelled_sample
+from tidemark.llm._session import Scratch, fitted, labelled_sample
 
 BAD = ["blorgish", "vexnard", "krumptish"]
 
@@ -62,8 +62,8 @@ def test_long_labelled_texts_do_not_use_the_sample_up(spark):
     scratch = Scratch(spark, "test")
     own = labels.select("doc_id", F.col("toxic").alias("y"))
     sample, counts = labelled_sample(scratch, docs, own, 40, 4000)
-    got = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    assert got == {0: 40, 1: 40} and counts[0] > 2000
+    got = fitted(sample, 40, lambda rows: rows)
+    assert [sum(y == c for _, _, y in got) for c in (0, 1)] == [40, 40] and counts[0] > 2000 and got == sorted(got)
     scratch.close()
 
 

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import give_back
@@ -158,8 +158,8 @@ def _low(counts: dict, by: str, n: float, id_col: str) -> Column:
 
 
 def labelled_sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, n: int, max_bytes: int) -> tuple[DataFrame, dict]:
-    """A written table (doc_id, text, y) of up to ``n`` texts of at most ``max_bytes`` for each y of ``labels`` (doc_id, y; an id once),
-    those with the least hash of their id, and the number of labels of each y.
+    """A written table (y, place, doc_id, text) that holds, for each y of ``labels`` (doc_id, y), at least the ``n`` texts of at most
+    ``max_bytes`` with the least place, a hash of their id, and the number of labels of each y. ``fitted`` takes those ``n``.
 
     Ids are tried from the least hash on, eight times as many in each round, until every y has its ``n`` texts or no labels are
     left; so labels of long or missing texts never use the sample up, and one round is the rule.
@@ -169,9 +169,8 @@ def labelled_sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, n: int
     while True:
         few = labels.where(_low(counts, "y", times * n, "doc_id"))
         own = chosen(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-        met = only(own, few, "doc_id").select("doc_id", "text", "y").distinct()
-        place = F.row_number().over(Window.partitionBy("y").orderBy(_place("doc_id"), "doc_id", "text"))
-        got = scratch.keep(met.withColumn("_place", place).where(F.col("_place") <= n).drop("_place"), "sample")
+        met = only(own, few, "doc_id").select("y", _place("doc_id").alias("place"), "doc_id", "text").distinct()
+        got = scratch.keep(met, "sample")
         have = {r["y"]: r["count"] for r in got.groupBy("y").count().collect()}
         if all(have.get(y, 0) >= n or times * n >= count for y, count in counts.items()):
             return got, counts
@@ -179,15 +178,18 @@ def labelled_sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, n: int
         times *= 8
 
 
-def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
-    """``fit`` of all rows of a bounded, written ``sample``, in sorted order. One executor task reads them and fits, so the driver never
-    holds the sample or the fit's working memory; a task that is lost is run again."""
+def fitted(sample: DataFrame, n: int, fit: Callable[[list[tuple]], object]) -> object:
+    """``fit`` of the (doc_id, text, y) of the first ``n`` rows of each y of a written ``sample``. One executor task reads and fits, so the
+    driver never holds the sample or the fit's working memory; a task that is lost is run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        by: dict = {}
         for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        out = pickle.dumps(fit(sorted(rows)))
+            for y, place, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault(y, []).append((place, doc_id, text))
+        rows = sorted((doc_id, text, y) for y, group in by.items() for _, doc_id, text in sorted(group)[:n])
+        by.clear()
+        out = pickle.dumps(fit(rows))
         rows.clear()
         give_back()
         yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["model"])

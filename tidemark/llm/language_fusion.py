@@ -80,7 +80,7 @@ def learn(docs: DataFrame, languages: tuple[str, ...], a_language: int = 300, le
     own = own.select("doc_id", at.alias("y")).where("y > 0")
     scratch = Scratch(docs.sparkSession, "language")
     few, _ = labelled_sample(scratch, docs, own, a_language, max_bytes)
-    model = fitted(few, lambda rows: fit_text([t for _, t, _ in rows], [languages[y - 1] for _, _, y in rows], languages))
+    model = fitted(few, a_language, lambda rows: fit_text([t for _, t, _ in rows], [languages[y - 1] for _, _, y in rows], languages))
     scratch.close()
     return model
 

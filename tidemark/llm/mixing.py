@@ -117,7 +117,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: str, names: tuple,
     own = own.join(chosen(docs, "doc_id", "lang"), "doc_id").select("doc_id", y.alias("y")).where("doc_id is not null and y > 0")
     scratch = Scratch(docs.sparkSession, "domains")
     sample, _ = labelled_sample(scratch, docs, own.groupBy("doc_id").agg(F.min("y").alias("y")), a_domain, max_bytes)
-    model = fitted(sample, lambda rows: fit_domains([t for _, t, _ in rows], [names[y - 1] for _, _, y in rows], names))
+    model = fitted(sample, a_domain, lambda rows: fit_domains([t for _, t, _ in rows], [names[y - 1] for _, _, y in rows], names))
     scratch.close()
     return model
 

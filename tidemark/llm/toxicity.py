@@ -128,10 +128,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", classes: tup
     own = own.where(F.col("y").isin(*classes)).groupBy("doc_id").agg(F.min("y").alias("y"))
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample, counts = labelled_sample(scratch, docs, own, a_class, max_bytes)
-    taken = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    taken = {r["y"]: min(r["count"], a_class) for r in sample.groupBy("y").count().collect()}
     share = lambda c: counts.get(c, 0) / max(1, taken.get(c, 0))
     rarity = min(100.0, max(1.0, share(classes[0]) / share(classes[1]))) if share(classes[1]) else 1.0
-    model = fitted(sample, lambda rows: train([t for _, t, _ in rows], [classes.index(y) for _, _, y in rows], rarity))
+    model = fitted(sample, a_class, lambda rows: train([t for _, t, _ in rows], [classes.index(y) for _, _, y in rows], rarity))
     scratch.close()
     return model
 
