@@ -28,6 +28,7 @@ def test_equal_to_brute_force(spark, monkeypatch):
         monkeypatch.setattr(J, "LONG", long_)
         monkeypatch.setattr(J, "BLOCK_TOKENS", block * 40)
         monkeypatch.setattr(J, "BLOCK_ENTRIES", block)
+        monkeypatch.setattr(J, "FEW_BLOCKS", 64 if seed == 1 else 1)
         monkeypatch.setattr(J, "MOST_TOKENS", 2_400_000 if long_ == 16 else 50 * block)
         monkeypatch.setattr(J, "DEAL_TOKENS", 800_000 if long_ == 16 else 20 * block)
         rows = texts(seed)

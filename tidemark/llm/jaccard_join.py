@@ -34,6 +34,7 @@ from tidemark.llm.words import COEF, mix, shingle_sets, sliced
 LONG = 3  # a list with more nodes is long: its pairs are found through families and blocks
 BLOCK_TOKENS = 200_000  # of whole sets in one block of a cell, or more if one set alone has more
 BLOCK_ENTRIES = 1024
+FEW_BLOCKS = 64  # so many cells of one family may be one task's; beyond that they are dealt out, with the same result
 MARKS = 16
 TOKENS_A_BUCKET = 400_000
 MOST_TOKENS = 1_600_000  # held of one bucket; a token of very many nodes makes larger buckets, which are read in parts
@@ -420,16 +421,22 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5, id_col: str =
         found.append(cells.where("b is not null").select("a", "b").distinct())
         counted.append(cells.where("n is not null").select(F.col("a").alias("node"), "n"))
 
-    def sides(df: DataFrame, s: str, cols: tuple[str, ...]) -> DataFrame:
+    def sides(df: DataFrame, s: str, cols: tuple[str, ...]) -> tuple[DataFrame, int]:
         slots = scratch.keep(df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("slots"), F.count(F.lit(1)).alias("n_rows")), "slots")
+        most = slots.agg(F.max("slots")).first()[0] or 0
         slot = F.pmod(F.xxhash64("node", F.lit(2)), "slots")
-        slotted = join_uneven(df, slots, "family").withColumn(f"{s}_slot", slot)
-        return scratch.keep(slotted.groupBy("family", f"{s}_slot").agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in cols]), "blocks")
+        slotted = (df.join(slots, "family") if most <= FEW_BLOCKS else join_uneven(scratch.keep(df, "side"), slots, "family")).withColumn(f"{s}_slot", slot)
+        return slotted.groupBy("family", f"{s}_slot").agg(*[F.collect_list(c).alias(f"{s}_{c}") for c in cols]), most
 
-    light = scratch.keep(member.where("not heavy").join(classes.select("node", "marks"), "node"), "light")
-    x, y = sides(scratch.keep(member.where("heavy"), "wide"), "x", ("node", "n", "pos", "last")), sides(light, "y", ("node", "n", "pos", "low_n", "marks"))
-    # The numbers of the blocks are paired first, so that the blocks of one large family are dealt over all tasks.
-    met = x.select("family", "x_slot").join(y.select("family", "y_slot"), "family").join(x, ["family", "x_slot"]).join(y, ["family", "y_slot"]).drop("family", "x_slot", "y_slot")
+    light = member.where("not heavy").join(classes.select("node", "marks"), "node")
+    (x, most_x), (y, most_y) = sides(member.where("heavy"), "x", ("node", "n", "pos", "last")), sides(light, "y", ("node", "n", "pos", "low_n", "marks"))
+    if most_x * most_y <= FEW_BLOCKS:
+        met = x.join(y, "family")
+    else:
+        # The numbers of the blocks are paired first, so that the blocks of one large family are dealt over all tasks.
+        x, y = scratch.keep(x, "blocks"), scratch.keep(y, "blocks")
+        met = x.select("family", "x_slot").join(y.select("family", "y_slot"), "family").join(x, ["family", "x_slot"]).join(y, ["family", "y_slot"])
+    met = met.drop("family", "x_slot", "y_slot")
     pairs = scratch.keep(pairs.union(met.mapInArrow(_light_pairs(pct), "a long, b long")).distinct(), "pairs")
     sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), False)
     # First on the low parts: a low token of one set before the end of the other's low part that isn't there is missing in it. Upper
