@@ -1,4 +1,4 @@
-import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -10,6 +10,19 @@ from tests.llm.test_best_fit import check
 DATA = Path("/root/testdata/sf0.001")
 
 
+def check_places(rows, room):
+    """Sequences without gaps, none longer than ``room``."""
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_seq.values():
+        end = 0
+        for at, n in sorted(parts):
+            assert at == end
+            end += n
+        assert end <= room
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_every_stage_on_the_smallest_tables(spark, tmp_path):
     docs, kept = spark.read.parquet(f"{DATA}/documents.parquet"), []
@@ -20,6 +33,7 @@ def test_every_stage_on_the_smallest_tables(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         kept.append({r.doc_id: r.text for r in docs.collect()})
+        assert name == "mixing" or docs.count() == len(kept[-1]), name  # before mixing no row is repeated
     first, groups, cut, mixed = kept
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     every = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
@@ -28,18 +42,28 @@ def test_every_stage_on_the_smallest_tables(spark, tmp_path):
     assert groups.keys() == {c for _, c, _ in brute.jaccard(list(first.items())).values()}
     assert cut.keys() == groups.keys() and not any(s[3] in ("assign", "access", "hex") for t in cut.values() for s in brute.secrets(t))
     assert {i for i in cut if cut[i] != groups[i]} >= {i for i in groups if brute.secrets(groups[i])}
+    assert {i: groups[i] for i in groups if "[SECRET]" not in cut[i]} == {i: cut[i] for i in cut if "[SECRET]" not in cut[i]}
     assert mixed == cut
+    copies = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert copies.keys() == set(cut.items()) and max(copies.values()) <= P.MOST_COPIES
     rows = P.STAGES[-1][1](spark, docs, str(DATA)).collect()
-    some = random.Random(1).sample(sorted({r.doc_id for r in rows}), 20)
-    assert {r.doc_id for r in rows} == mixed.keys() and some
+    assert Counter(r.doc_id for r in rows if r.start == 0) == Counter({i: n for (i, _), n in copies.items()})
+    check_places(rows, 1024)
     once = spark.read.parquet(str(tmp_path / "mixing")).dropDuplicates(["doc_id"])
     check(P.STAGES[-1][1](spark, once, str(DATA)).collect(), [(r.doc_id, r.text) for r in once.collect()], 1024, 2)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-def test_run(spark):
-    rows = P.run(spark, str(DATA))
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
+def test_run_is_its_stages_one_after_another(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        stage(spark, docs, str(DATA)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    digest = ("doc_id", "piece", "start", "length", "ids_crc32")
+    want = Counter(map(tuple, P.STAGES[-1][1](spark, docs, str(DATA)).select(*digest).collect()))
+    rows = P.run(spark, str(DATA)).collect()
+    assert Counter(tuple(r[c] for c in digest) for r in rows) == want
+    check_places(rows, 1024)
 
 
 def test_repeated_ids_are_dropped_by_their_own_text(spark):
